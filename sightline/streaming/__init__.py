@@ -1,0 +1,5 @@
+"""There is no stream in this system: every export is a finished file.
+
+The row-level operators (``operators.normalise``, ``operators.controls``) use no
+aggregate and no window, so they also accept a streaming DataFrame unchanged.
+"""
