@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from sightline.functions.text import text_or
 
 UNKNOWN = "(not given)"
+CHUNK_HEAD = "Group security checks that one report entry can cover. This is chunk "
+CHUNK_RULES = (
+    "\n\nMerge checks only when service, root cause and fix are the same; when in doubt keep them apart. "
+    "Every check id appears in exactly one group. Give each group a specific name and a rationale."
+)
 ARRAY_ONLY = (
     "\n\nAnswer with a JSON array only: "
     '[{"group_name": "...", "check_ids": ["..."], "rationale": "..."}]'
@@ -129,14 +134,10 @@ def chunk_prompt() -> Column:
         ),
     ).otherwise("")
     return F.concat(
-        F.lit("Group security checks that one report entry can cover. This is chunk "),
+        F.lit(CHUNK_HEAD),
         F.col("chunk_no").cast("string"), F.lit(" of "), F.col("chunk_count").cast("string"), F.lit(".\n"),
         earlier, F.lit("\nChecks:\n"), F.array_join("check_lines", "\n"),
-        F.lit(
-            "\n\nMerge checks only when service, root cause and fix are the same; when in doubt keep them apart. "
-            "Every check id appears in exactly one group. Give each group a specific name and a rationale."
-        ),
-        F.lit(ARRAY_ONLY),
+        F.lit(CHUNK_RULES + ARRAY_ONLY),
     )
 
 

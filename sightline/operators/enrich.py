@@ -55,7 +55,9 @@ def control_context(merged: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _with_rep(merged: DataFrame, rep: DataFrame) -> DataFrame:
-    group = merged.drop("severity").withColumn("_rep", F.col("representative.finding_instance_id"))
+    group = merged.withColumnRenamed("severity", "group_severity").withColumn(
+        "_rep", F.col("representative.finding_instance_id")
+    )
     return group.join(rep, ["run_id", "_rep"]).drop("_rep")
 
 

@@ -156,8 +156,8 @@ def report_rows(enriched: DataFrame, resources: DataFrame, recommendations: Data
 
 
 def assign_control_refs(merged: DataFrame) -> DataFrame:
-    """Reference of each control group in report order; the prefix is the first member's."""
-    severity = severity_rank(F.col("severity"), CONTROL_SEVERITY_RANK, "low")
+    """Reference of each enriched control group in report order; the prefix is the first member's."""
+    severity = severity_rank(F.col("group_severity"), CONTROL_SEVERITY_RANK, "low")
     place = Window.partitionBy("run_id", "output_section").orderBy(severity, "group_name", "group_no")
     return merged.withColumn("ref_number", F.row_number().over(place)).withColumn(
         "ref", ref_label(F.col("first_ref_prefix"), F.col("ref_number"))

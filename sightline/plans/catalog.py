@@ -23,7 +23,7 @@ from sightline.operators import (
 )
 from sightline.plans import fixtures, offline
 from sightline.rules import Rules, risk_rating
-from sightline.schemas import NESTED_FINDING, RAW_FIELDS, RESOURCE_COLUMNS, raw_name
+from sightline.schemas import NESTED_FINDING, RESOURCE_COLUMNS, raw_name
 from sightline.session import materialise, shared_root
 from sightline.sources import delimited, json_files, tables
 
@@ -826,11 +826,10 @@ def _export(t) -> DataFrame:
     ])
 
 
-def _scanned(rows: DataFrame) -> DataFrame:
-    fields = [f for f in ("raw_notes", "raw_provider", "raw_account_name", "raw_check_id", "raw_status", "raw_severity",
+def _scanned(rows: DataFrame, *more: str) -> DataFrame:
+    fields = [f for f in (*more, "raw_notes", "raw_provider", "raw_account_name", "raw_check_id", "raw_status", "raw_severity",
                           "raw_resource_uid", "raw_region", "raw_compliance", "raw_categories", "raw_resource_tags")]
-    assert set(fields) <= set(RAW_FIELDS)
-    return rows.select(*fields)
+    return rows.select(*[text.clean(F.col(f)).alias(f) for f in fields])
 
 
 @query
@@ -840,9 +839,7 @@ def csv_scan(t):
     out = _export(t).withColumn("RISK", F.concat("RISK", F.lit('; "two"\nlines')))
     out.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
     scan = delimited.read_findings_csv(t.spark, path, glob="*.csv")
-    return _scanned(scan.rows).join(scan.rows.filter("raw_risk LIKE '%two\"\nlines'").select("raw_notes"), "raw_notes", "left_semi").unionByName(
-        _scanned(scan.rows.filter("raw_risk IS NULL"))
-    )
+    return _scanned(scan.rows, "raw_risk")
 
 
 @query
