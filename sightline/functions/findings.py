@@ -1,9 +1,12 @@
-"""Row-level rules of resource findings."""
+"""Row-level rules of resource findings.
+
+Cells are expected clean (``text.clean``): stripped, and null when blank.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sightline.functions.text import parse_bool, strip, text_or
+from sightline.functions.text import literal_map, parse_bool, text_or
 from sightline.schemas import DATA_QUALITY, GLOBAL_SERVICES, STATUSES, STRUCTURALLY_BLANK
 
 
@@ -18,22 +21,19 @@ def source_row_id(sheet: Column, row_no: Column) -> Column:
 
 def reconcile_status(status: Column, muted: Column) -> Column:
     """``struct(scanner_status, muted_reconciled, unknown_status)`` of STATUS and MUTED."""
-    text = F.coalesce(F.upper(strip(status)), F.lit(""))
+    text = F.coalesce(F.upper(status), F.lit(""))
     marked = F.startswith(text, F.lit("MUTED("))
-    wrapped = marked & F.endswith(text, F.lit(")"))
-    plain = text.isin("FAIL", "PASS", "MANUAL")
-    is_muted = F.coalesce(parse_bool(muted), F.lit(False))
-
-    as_muted = (
-        F.when(wrapped & text.isin(*STATUSES), text)
-        .when(plain, F.concat(F.lit("MUTED("), text, F.lit(")")))
-        .otherwise("MUTED(FAIL)")
-    )
-    as_given = F.when(plain | (wrapped & text.isin(*STATUSES)), text).otherwise("UNKNOWN")
+    muted = F.coalesce(parse_bool(muted), F.lit(False))
+    plain = ("FAIL", "PASS", "MANUAL")
+    wrapped = {f"MUTED({s})": f"MUTED({s})" for s in plain}
+    table = {f"as given {s}": s for s in plain} | {f"as given {k}": v for k, v in wrapped.items()}
+    table |= {f"muted {s}": f"MUTED({s})" for s in plain} | {f"muted {k}": v for k, v in wrapped.items()}
+    key = F.concat(F.when(muted, "muted ").otherwise("as given "), text)
+    fallback = F.when(muted, "MUTED(FAIL)").otherwise("UNKNOWN")
     return F.struct(
-        F.when(is_muted, as_muted).otherwise(as_given).alias("scanner_status"),
-        (is_muted & ~marked).alias("muted_reconciled"),
-        (~is_muted & wrapped & ~text.isin(*STATUSES)).alias("unknown_status"),
+        F.coalesce(F.try_element_at(literal_map(table), key), fallback).alias("scanner_status"),
+        (muted & ~marked).alias("muted_reconciled"),
+        (~muted & marked & F.endswith(text, F.lit(")")) & ~text.isin(*STATUSES)).alias("unknown_status"),
     )
 
 
@@ -55,16 +55,13 @@ _ARN = r"(?i)^arn:[a-z0-9\-]+:[a-z0-9\-]+:[^:]*:[^:]*:.+$"
 
 def resource_id(uid: Column, name: Column) -> Column:
     """Resource identifier: ARN without trailing slashes, other uid, name, or ''."""
-    uid, name = strip(uid), strip(name)
-    return text_or(
-        F.when(uid.rlike(_ARN), F.regexp_replace(uid, "/+$", "")).otherwise(uid),
-        text_or(name, ""),
-    )
+    stripped = F.when(uid.rlike(_ARN), F.rtrim(uid, F.lit("/"))).otherwise(uid)
+    return F.coalesce(stripped, name, F.lit(""))
 
 
 def stable_key(provider: Column, account: Column, service: Column, check: Column, resource: Column) -> Column:
     """Key that stays the same over repeated scans of one environment."""
-    part = lambda c, missing="unknown": strip(F.lower(text_or(c, missing)))
+    part = lambda c, missing="unknown": F.lower(text_or(c, missing))
     return F.concat_ws(
         ":",
         part(provider),
@@ -77,16 +74,14 @@ def stable_key(provider: Column, account: Column, service: Column, check: Column
 
 def dedup_key(account_uid: Column, check: Column, resource: Column, region: Column) -> Column:
     """Key of one finding inside a run; without a resource it is account and check only."""
-    head = F.concat_ws(
-        ":", strip(text_or(account_uid, "unknown")), strip(F.lower(text_or(check, "unknown")))
-    )
-    res = strip(F.lower(resource))
-    return F.when(res == "", head).otherwise(F.concat_ws(":", head, res, strip(F.lower(region))))
+    head = F.concat(F.coalesce(account_uid, F.lit("unknown")), F.lit(":"), F.lower(F.coalesce(check, F.lit("unknown"))))
+    place = F.concat(F.lit(":"), F.lower(resource), F.lit(":"), F.lower(region))
+    return F.concat(head, F.when(resource == "", "").otherwise(place))
 
 
 def completeness(*cells: Column) -> Column:
     """Number of populated cells."""
     total = F.lit(0)
     for c in cells:
-        total = total + F.when(text_or(c, F.lit(None)).isNotNull(), 1).otherwise(0)
+        total = total + F.when(c != "", 1).otherwise(0)
     return total

@@ -30,10 +30,16 @@ def text_or(c: Column, fallback) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), fallback)
 
 
+def literal_map(pairs: dict) -> Column:
+    """A constant map.  Looking a key up names the key once, where a CASE would
+    repeat it in every branch; pushed-down predicates stay small that way."""
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
 def parse_bool(c: Column) -> Column:
     """true/1/yes and false/0/no in any case; anything else is null."""
-    v = F.lower(strip(c))
-    return F.when(v.isin("true", "1", "yes"), True).when(v.isin("false", "0", "no"), False)
+    known = {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}
+    return F.try_element_at(literal_map(known), F.lower(strip(c)))
 
 
 def pipe_list(c: Column) -> Column:
@@ -44,23 +50,15 @@ def pipe_list(c: Column) -> Column:
 
 def tag_map(c: Column) -> Column:
     """``k:v | k`` to a map: split at the first colon, no colon gives '', last key wins."""
-    pairs = F.transform(
-        pipe_list(c),
-        lambda item: F.struct(
-            strip(F.substring_index(item, ":", 1)).alias("key"),
-            F.when(
-                F.contains(item, F.lit(":")),
-                strip(F.substr(item, F.locate(":", item) + F.lit(1))),
-            ).otherwise("").alias("value"),
-        ),
-    )
-    last_only = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(
-            F.slice(pairs, i + F.lit(2), F.size(pairs)), lambda later: later["key"] == p["key"]
-        ),
+    pair = lambda item: F.struct(
+        strip(F.substring_index(item, ":", 1)).alias("key"),
+        F.when(
+            F.contains(item, F.lit(":")), strip(F.substr(item, F.locate(":", item) + F.lit(1)))
+        ).otherwise("").alias("value"),
     )
-    return F.map_from_entries(last_only)
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    put = lambda kept, p: F.concat(F.filter(kept, lambda k: k["key"] != p["key"]), F.array(p))
+    return F.map_from_entries(F.aggregate(F.transform(pipe_list(c), pair), empty, put))
 
 
 def compliance(c: Column) -> Column:

@@ -36,12 +36,20 @@ def status_filter(findings: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def duplicate_keys(filtered: DataFrame) -> DataFrame:
-    """Dedup keys held by more than one included row, with the first row of each."""
+    """Dedup keys held by more than one included row, with the first row of each.
+
+    The test for an empty key follows the aggregation: before it, the optimiser
+    would compute every key twice to test it.
+    """
     return (
-        filtered.filter((F.col("report_inclusion") == INCLUDED) & (F.col("dedup_key") != ""))
+        filtered.filter(F.col("report_inclusion") == INCLUDED)
         .groupBy("run_id", "dedup_key")
-        .agg(F.min("row_seq").alias("primary_seq"), F.count(F.lit(1)).alias("copies"))
-        .filter("copies > 1")
+        .agg(
+            F.min("row_seq").alias("primary_seq"), F.count(F.lit(1)).alias("copies"),
+            F.max(F.length("dedup_key")).alias("_length"),
+        )
+        .filter("copies > 1 AND _length > 0")
+        .drop("_length")
     )
 
 

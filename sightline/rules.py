@@ -1,7 +1,7 @@
 """Rule sets: defaults, validation, and their use as column expressions.
 
 A rule set holds at most a few dozen entries (``validate`` checks the keys), so
-lookups are literal CASE expressions: no join, no shuffle, inside codegen.
+lookups are constant maps: no join, no shuffle, inside codegen.
 """
 
 from dataclasses import dataclass, field
@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.functions.text import literal_map
 from sightline.schemas import STATUSES
 
 # --- fixed values: default severity rules, risk matrix, sections -------------
@@ -147,13 +148,9 @@ def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
 
 
 def lookup(key: Column, table: dict, default) -> Column:
-    """CASE over a small literal dict; unmatched and null keys give ``default``."""
+    """Value of a key in a small literal dict; unmatched and null keys give ``default``."""
     default = default if isinstance(default, Column) else F.lit(default)
-    expr = None
-    for k, v in table.items():
-        hit = key == F.lit(k)
-        expr = F.when(hit, F.lit(v)) if expr is None else expr.when(hit, F.lit(v))
-    return default if expr is None else expr.otherwise(default)
+    return F.coalesce(F.try_element_at(literal_map(table), key), default) if table else default
 
 
 def severity_rank(severity: Column, table: dict = SEVERITY_RANK, missing: str | None = None) -> Column:

@@ -88,7 +88,10 @@ def numbered_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     else:
         files = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "_path STRING, file_no BIGINT")
         numbered = row.join(files, "_path")
-    return numbered.withColumn("row_seq", row_seq(F.col("file_no"), F.col("row_no"))).drop("_path", "file_no")
+    numbered = numbered.withColumn("row_seq", row_seq(F.col("file_no"), F.col("row_no"))).drop("_path", "file_no")
+    cores = spark.sparkContext.defaultParallelism
+    # Fewer scan tasks than cores: spread the rows once.  Never so for a large table.
+    return numbered.repartition(cores, "row_no") if df.rdd.getNumPartitions() < cores else numbered
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
