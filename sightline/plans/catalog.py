@@ -844,12 +844,11 @@ def csv_scan(t):
 
 @query
 def json_scan(t):
-    """Findings written as JSON arrays, one file per part of a run, read back by name."""
+    """Findings written as JSON arrays of at most 500, in containers, read back by name."""
     path = t.scratch("json")
     item = F.to_json(F.struct(*[F.col(c) for c in _export(t).columns]))
-    packed = _export(t).select(
-        F.crc32(F.col("NOTES")).alias("h"), item.alias("item")
-    ).groupBy(F.expr("h % 16").alias("part"), F.floor(F.col("h") / 16777216).alias("slice")).agg(
+    number = F.substring_index("NOTES", "#", -1).cast("long")
+    packed = _export(t).select(F.floor(number / 500).alias("part"), item.alias("item")).groupBy("part").agg(
         F.concat(F.lit('{"findings": ['), F.array_join(F.collect_list("item"), ","), F.lit("]}")).alias("value")
     )
     packed.select("value").write.option("lineSep", "\u0001").text(path)

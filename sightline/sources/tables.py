@@ -1,13 +1,13 @@
 """Findings and control views over warehouse tables (orders, parts, suppliers …).
 
-The row number of a finding is its place in the line-item file, as the row
+The row number of a finding is its place in the line-item files, as the row
 number of an export is; nothing is sorted to obtain it.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.sources.files import row_seq
+from sightline.session import materialise
 
 # {name} is a table; ``lineitem`` also has ``row_no`` and ``row_seq``.
 FINDINGS_SQL = """
@@ -79,16 +79,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def numbered_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with ``row_no`` (place in its file, first row = 2) and ``row_seq`` over all files."""
+    """A table with ``row_no`` and ``row_seq``: place over its files in name order, first row = 2.
+
+    A table of several files is counted per file first, which reads no column;
+    the counts are one row per file and are joined by their written size.
+    """
     df = table(spark, sf_dir, name)
-    paths = sorted(df.inputFiles())
     row = df.select("*", (F.col("_metadata.row_index") + 2).alias("row_no"), F.col("_metadata.file_path").alias("_path"))
-    if len(paths) == 1:
-        numbered = row.withColumn("file_no", F.lit(0).cast("long"))
-    else:
-        files = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "_path STRING, file_no BIGINT")
-        numbered = row.join(files, "_path")
-    numbered = numbered.withColumn("row_seq", row_seq(F.col("file_no"), F.col("row_no"))).drop("_path", "file_no")
+    if len(df.inputFiles()) > 1:
+        earlier = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+        counts = row.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
+        offsets = materialise(
+            counts.select("_path", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")), "table-files"
+        )
+        row = row.join(offsets, "_path").withColumn("row_no", F.col("row_no") + F.col("_offset")).drop("_offset")
+    numbered = row.drop("_path").withColumn("row_seq", F.col("row_no"))
     cores = spark.sparkContext.defaultParallelism
     # Fewer scan tasks than cores: spread the rows once.  Never so for a large table.
     return numbered.repartition(cores, "row_no") if df.rdd.getNumPartitions() < cores else numbered

@@ -4,6 +4,7 @@
 """
 
 import math
+import os
 import sys
 import time
 
@@ -17,7 +18,9 @@ def duck(sf_dir: str):
 
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+        path = f"{sf_dir}/{t}.parquet"
+        path += "/*.parquet" if os.path.isdir(path) else ""
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 

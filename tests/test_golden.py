@@ -24,7 +24,8 @@ def csv_text(delimiter=",", newline="\n"):
 
 @pytest.fixture(scope="module")
 def scan(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("golden")
+    folder = tmp_path_factory.mktemp("golden") / "client 1 + 2 é"
+    folder.mkdir()
     (folder / "scan.csv").write_text(csv_text())
     return read_findings_csv(spark, str(folder))
 

@@ -20,13 +20,25 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 @needs_tables
 @pytest.mark.parametrize("name", [
-    "status_reconcile", "review_flags", "tag_maps", "dedup_findings", "ordered_groups", "merged_groups", "board_edits",
-    "enrich_results", "report_rows", "csv_scan", "nested_flatten", "html_strip", "control_report",
+    "status_reconcile", "review_flags", "tag_maps", "dedup_findings", "merged_groups", "board_edits", "report_rows",
+    "csv_scan", "json_scan", "nested_flatten", "html_strip", "control_report",
 ])
 def test_query_equals_sql(spark, name):
     assert difference(QUERIES[name](spark, SF), duck(SF), oracle_queries()[name]) is None
 
 
+@needs_tables
+def test_tables_in_several_files(spark, tmp_path):
+    """Rows are numbered over all files of a table."""
+    for name in ("orders", "customer", "nation", "region", "part"):
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    for name in ("supplier", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").repartition(3, "l_orderkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("duplicate_links", "ordered_groups"):
+        assert difference(QUERIES[name](spark, str(tmp_path)), duck(str(tmp_path)), oracle_queries()[name]) is None
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(oracle_queries())
 
