@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.text import quoted_array, strip, text_or
 from sightline.operators.grouping import unknown_members
+from sightline.rules import severity_rank
 
 UNASSIGNED = "__unassigned__"
 SPLIT = "split:"
@@ -120,6 +121,24 @@ def board_stats(assignment: DataFrame) -> DataFrame:
     )
 
 
+def board_cards(assignment: DataFrame, groups: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Per group of a board: checks, highest severity, instances, distinct accounts."""
+    severity = F.lower(text_or(F.col("raw_severity"), "informational"))
+    held = assignment.filter(F.col("group_id") != UNASSIGNED).join(
+        groups.select("run_id", "member_key", "check_id", "output_section", "instance_count", severity.alias("severity")),
+        ["run_id", "member_key"],
+    )
+    names = held.join(accounts, ["run_id", "check_id", "output_section"]).groupBy("run_id", "group_id", "account").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    per_group = names.groupBy("run_id", "group_id").agg(F.count(F.lit(1)).alias("accounts"))
+    cards = held.groupBy("run_id", "group_id").agg(
+        F.count(F.lit(1)).alias("checks"), F.sum("instance_count").alias("instances"),
+        F.min_by("severity", F.struct(severity_rank(F.col("severity")), "severity")).alias("severity"),
+    )
+    return cards.join(per_group, ["run_id", "group_id"], "left").fillna({"accounts": 0})
+
+
 def approvals_from_board(assignment: DataFrame, groups: DataFrame) -> DataFrame:
     """Approved members ``(run_id, group_no, group_name, …, pos, member_key)`` of a board.
 

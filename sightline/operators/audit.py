@@ -24,27 +24,27 @@ def finding_audit(processed: DataFrame) -> DataFrame:
     shown = lambda c: F.coalesce(F.col(c), F.lit("None"))
     events = F.array_compact(F.array(
         _event(
-            F.col("muted_reconciled"), 0, 1, "stage1_ingest", "scanner_status", F.col("raw_status"),
+            F.col("muted_reconciled"), 0, 1, "ingest", "scanner_status", F.col("raw_status"),
             F.col("scanner_status"), F.lit("MUTED=True overrode STATUS column value"),
         ),
         _event(
-            F.col("human_review_required"), 1, 1, "stage1_ingest", "human_review_required", "false", "true",
+            F.col("human_review_required"), 1, 1, "ingest", "human_review_required", "false", "true",
             F.col("review_reason"),
         ),
         _event(
-            filtered_out, 0, 2, "stage2_status_filter", "report_inclusion", "INCLUDED", "EXCLUDED",
+            filtered_out, 0, 2, "status_filter", "report_inclusion", "INCLUDED", "EXCLUDED",
             F.col("exclusion_reason"),
         ),
         _event(
-            F.col("is_duplicate"), 1, 2, "stage2_dedup", "report_inclusion", "INCLUDED", "EXCLUDED",
+            F.col("is_duplicate"), 1, 2, "dedup", "report_inclusion", "INCLUDED", "EXCLUDED",
             F.col("exclusion_reason"),
         ),
         _event(
-            F.col("is_duplicate"), 2, 2, "stage2_dedup", "is_duplicate", "false", "true",
+            F.col("is_duplicate"), 2, 2, "dedup", "is_duplicate", "false", "true",
             F.concat(F.lit("dedup_key='"), "dedup_key", F.lit("' already seen; primary="), "duplicate_of"),
         ),
         _event(
-            kept, 3, 2, "stage2_grouping", "output_section", "", F.col("output_section"),
+            kept, 3, 2, "check_grouping", "output_section", "", F.col("output_section"),
             F.concat(
                 F.lit("provider='"), shown("raw_provider"), F.lit("' service='"), shown("raw_service_name"),
                 F.lit("' -> section='"), "output_section", F.lit("'"),
@@ -61,14 +61,14 @@ def group_audit(groups: DataFrame) -> DataFrame:
     count = F.col("instance_count").cast("string")
     events = F.array_compact(F.array(
         _event(
-            F.lit(True), 4, 2, "stage2_grouping", "instance_count", "1", count,
+            F.lit(True), 4, 2, "check_grouping", "instance_count", "1", count,
             F.concat(
                 F.lit("Grouped "), count, F.lit(" instance(s) of check_id='"), "check_id",
                 F.lit("' into one output row"),
             ),
         ),
         _event(
-            F.lit(True), 5, 2, "stage2_likelihood", "likelihood_rating", None, F.col("likelihood_rating"),
+            F.lit(True), 5, 2, "likelihood", "likelihood_rating", None, F.col("likelihood_rating"),
             F.col("likelihood_reason"),
         ),
     ))

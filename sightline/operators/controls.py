@@ -177,13 +177,13 @@ def control_audit(processed: DataFrame) -> DataFrame:
     ))
     excluded = (F.col("report_inclusion") == EXCLUDED) & ~F.col("is_duplicate")
     events = F.array_compact(F.array(
-        event(F.col("human_review_required"), 1, 0, "sg_ingest", "human_review_required", F.lit("false"),
+        event(F.col("human_review_required"), 1, 0, "ingest", "human_review_required", F.lit("false"),
               F.lit("true"), F.col("review_reason")),
-        event(F.lit(True), 1, 1, "sg_ingest", "ingested", null, F.col("control_id"),
+        event(F.lit(True), 1, 1, "ingest", "ingested", null, F.col("control_id"),
               F.concat(F.lit("Parsed from row "), F.col("row_no").cast("string"))),
-        event(excluded, 2, 0, "sg_process", "report_inclusion", F.lit(INCLUDED), F.lit(EXCLUDED),
+        event(excluded, 2, 0, "process", "report_inclusion", F.lit(INCLUDED), F.lit(EXCLUDED),
               F.col("exclusion_reason")),
-        event(F.col("is_duplicate"), 2, 1, "sg_process", "report_inclusion",
+        event(F.col("is_duplicate"), 2, 1, "process", "report_inclusion",
               F.when(F.col("was_included"), INCLUDED).otherwise(EXCLUDED), F.lit(EXCLUDED), F.col("exclusion_reason")),
     ))
     return processed.select("run_id", "finding_instance_id", F.explode(events).alias("e")).select(

@@ -178,13 +178,13 @@ def enrich_audit(enriched: DataFrame, model: str) -> DataFrame:
     ))
     return enriched.select(
         "run_id", F.col("representative.finding_instance_id").alias("finding_instance_id"),
-        F.lit(4).alias("stage_no"), F.lit("stage3_llm").alias("stage"), F.explode(events).alias("e"),
+        F.lit(4).alias("stage_no"), F.lit("enrichment").alias("stage"), F.explode(events).alias("e"),
     ).select("run_id", "finding_instance_id", "stage_no", "e.seq", "stage", "e.field", "e.old_value", "e.new_value", "e.reason", "e.actor")
 
 
 def enrich_warnings(enriched: DataFrame) -> DataFrame:
     return enriched.filter("enrichment_failed").select(
-        "run_id", F.lit("stage3_llm").alias("stage"), F.lit("LLM_ENRICHMENT_FAILED").alias("code"),
+        "run_id", F.lit("enrichment").alias("stage"), F.lit("LLM_ENRICHMENT_FAILED").alias("code"),
         F.concat(F.lit("["), "group_name", F.lit("] "), "failure_reason").alias("message"),
         F.lit(None).cast("long").alias("row_no"), F.col("group_name").alias("check_id"),
         F.col("representative.finding_instance_id").alias("finding_id"),

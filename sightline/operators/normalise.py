@@ -7,7 +7,7 @@ from sightline.functions import findings as fn
 from sightline.functions.text import clean, compliance, pipe_list, quoted_array, tag_map, text_or
 from sightline.schemas import RAW_FIELDS
 
-_STAGE = "stage1_ingest"
+_STAGE = "ingest"
 
 
 def normalise_findings(raw: DataFrame) -> DataFrame:

@@ -188,14 +188,14 @@ def process_warnings(normalised: DataFrame, groups: DataFrame, filtered: DataFra
     """EMPTY_DEDUP_KEY per finding and EMPTY_OUTPUT per run without groups."""
     null = F.lit(None)
     empty_key = filtered.filter((F.col("report_inclusion") == INCLUDED) & (F.col("dedup_key") == "")).select(
-        "run_id", F.lit("stage2_process").alias("stage"), F.lit("EMPTY_DEDUP_KEY").alias("code"),
+        "run_id", F.lit("process").alias("stage"), F.lit("EMPTY_DEDUP_KEY").alias("code"),
         F.concat(F.lit("Finding "), "finding_instance_id", F.lit(" has an empty dedup_key.")).alias("message"),
         "row_no", F.col("raw_check_id").alias("check_id"), F.col("finding_instance_id").alias("finding_id"),
     )
     no_output = (
         normalised.select("run_id").distinct().join(groups.select("run_id").distinct(), "run_id", "left_anti")
         .select(
-            "run_id", F.lit("stage2_process").alias("stage"), F.lit("EMPTY_OUTPUT").alias("code"),
+            "run_id", F.lit("process").alias("stage"), F.lit("EMPTY_OUTPUT").alias("code"),
             F.lit("No output groups produced: all findings were excluded.").alias("message"),
             null.cast("long").alias("row_no"), null.cast("string").alias("check_id"),
             null.cast("string").alias("finding_id"),

@@ -573,6 +573,11 @@ def board_stats(t):
     return approvals.board_stats(t.assignment())
 
 
+@query
+def board_cards(t):
+    return approvals.board_cards(t.assignment(), t.groups(), process.group_accounts(t.working()))
+
+
 @query
 def approval_gate(t):
     return approvals.approval_gate(t.assignment(), t.board_groups())

@@ -176,7 +176,7 @@ CTES = {
       CASE WHEN group_no % 3 = 1 THEN 'Edited ' || group_no ELSE rationale END AS rationale,
       CASE WHEN group_no % 3 = 0 THEN CASE WHEN group_no % 2 = 0 THEN 'Low' ELSE 'Critical' END END AS risk_rating_override FROM boxes
       UNION ALL SELECT DISTINCT run_id, 'gnew', 'New Group — rename me', '', NULL FROM boxes""",
-    "warn": """SELECT run_id, 'stage1_ingest' AS stage, w.code AS code, w.message AS message, row_no, raw_check_id AS check_id, finding_instance_id AS finding_id FROM (
+    "warn": """SELECT run_id, 'ingest' AS stage, w.code AS code, w.message AS message, row_no, raw_check_id AS check_id, finding_instance_id AS finding_id FROM (
       SELECT *, unnest([x FOR x IN [
         CASE WHEN muted_reconciled THEN {'code': 'MUTED_STATUS_RECONCILED', 'message': 'MUTED=True overrides STATUS=''' || raw_status || ''': now ''' || scanner_status || ''''} END,
         CASE WHEN unknown_status THEN {'code': 'UNKNOWN_STATUS', 'message': 'Unrecognised STATUS value ''' || raw_status || '''. Set to UNKNOWN.'} END,
@@ -192,17 +192,17 @@ CTES = {
       count(*) FILTER (report_inclusion = 'EXCLUDED' AND NOT is_duplicate) AS excluded, count(*) FILTER (is_duplicate) AS duplicates,
       count(DISTINCT CASE WHEN report_inclusion = 'INCLUDED' THEN check_id || ':' || output_section END) AS output_groups FROM proc GROUP BY run_id""",
     "audit": """SELECT run_id, finding_instance_id, e.* FROM (SELECT *, unnest([x FOR x IN [
-        CASE WHEN muted_reconciled THEN {'stage_no': 1, 'seq': 0, 'stage': 'stage1_ingest', 'field': 'scanner_status', 'old_value': raw_status,
+        CASE WHEN muted_reconciled THEN {'stage_no': 1, 'seq': 0, 'stage': 'ingest', 'field': 'scanner_status', 'old_value': raw_status,
           'new_value': scanner_status, 'reason': 'MUTED=True overrode STATUS column value'} END,
-        CASE WHEN review_reason IS NOT NULL THEN {'stage_no': 1, 'seq': 1, 'stage': 'stage1_ingest', 'field': 'human_review_required', 'old_value': 'false',
+        CASE WHEN review_reason IS NOT NULL THEN {'stage_no': 1, 'seq': 1, 'stage': 'ingest', 'field': 'human_review_required', 'old_value': 'false',
           'new_value': 'true', 'reason': review_reason} END,
-        CASE WHEN report_inclusion = 'EXCLUDED' AND NOT is_duplicate THEN {'stage_no': 2, 'seq': 0, 'stage': 'stage2_status_filter', 'field': 'report_inclusion',
+        CASE WHEN report_inclusion = 'EXCLUDED' AND NOT is_duplicate THEN {'stage_no': 2, 'seq': 0, 'stage': 'status_filter', 'field': 'report_inclusion',
           'old_value': 'INCLUDED', 'new_value': 'EXCLUDED', 'reason': exclusion_reason} END,
-        CASE WHEN is_duplicate THEN {'stage_no': 2, 'seq': 1, 'stage': 'stage2_dedup', 'field': 'report_inclusion',
+        CASE WHEN is_duplicate THEN {'stage_no': 2, 'seq': 1, 'stage': 'dedup', 'field': 'report_inclusion',
           'old_value': 'INCLUDED', 'new_value': 'EXCLUDED', 'reason': exclusion_reason} END,
-        CASE WHEN is_duplicate THEN {'stage_no': 2, 'seq': 2, 'stage': 'stage2_dedup', 'field': 'is_duplicate', 'old_value': 'false', 'new_value': 'true',
+        CASE WHEN is_duplicate THEN {'stage_no': 2, 'seq': 2, 'stage': 'dedup', 'field': 'is_duplicate', 'old_value': 'false', 'new_value': 'true',
           'reason': 'dedup_key=''' || dedup_key || ''' already seen; primary=' || duplicate_of} END,
-        CASE WHEN report_inclusion = 'INCLUDED' THEN {'stage_no': 2, 'seq': 3, 'stage': 'stage2_grouping', 'field': 'output_section', 'old_value': '',
+        CASE WHEN report_inclusion = 'INCLUDED' THEN {'stage_no': 2, 'seq': 3, 'stage': 'check_grouping', 'field': 'output_section', 'old_value': '',
           'new_value': output_section, 'reason': 'provider=''' || coalesce(raw_provider, 'None') || ''' service=''' || raw_service_name || ''' -> section='''
           || output_section || ''''} END] IF x IS NOT NULL]) AS e FROM proc)""",
     "crow0": f"""SELECT * REPLACE (coalesce(nullif(trim(tenant_id), ''), 'UNKNOWN-TENANT') AS tenant_id),
@@ -314,7 +314,7 @@ SELECTS = {
       ELSE replace(upper(header), 'REMEDIATION_RECOMMENDATION_CODE', 'REMEDIATION_CODE') END AS column_name FROM (SELECT p_partkey, ['account_arn', 'account_id', 'account_org',
       'assessment_start_time', 'finding_unique_id', 'profile', 'remediation_recommendation_code_cli', 'remediation_recommendation_code_nativeiac',
       'remediation_recommendation_code_other', 'remediation_recommendation_code_terraform', 'resource_arn', 'resource_id'][p_size % 12 + 1] AS header FROM part)""",
-    "unknown_columns": """SELECT run_id, 'stage1_ingest' AS stage, 'UNKNOWN_COLUMNS' AS code, 'Found ' || count(*) || ' unknown column(s), kept in extra_fields: ['
+    "unknown_columns": """SELECT run_id, 'ingest' AS stage, 'UNKNOWN_COLUMNS' AS code, 'Found ' || count(*) || ' unknown column(s), kept in extra_fields: ['
       || string_agg('''' || c || '''', ', ' ORDER BY c) || ']' AS message, NULL::BIGINT AS row_no, NULL::VARCHAR AS check_id, NULL::VARCHAR AS finding_id
       FROM (SELECT DISTINCT run_id, 'future_' || lower(raw_check_type) AS c FROM raw) GROUP BY run_id""",
     "client_slugs": """SELECT s_suppkey, left(translate(lower(s_name || ' / Ltd. & Söhne'), ' /', '__'), 40) AS slug,
@@ -386,6 +386,11 @@ SELECTS = {
     "board_stats": """SELECT run_id, count(*) FILTER (group_id <> '__unassigned__') AS current_groups, count(*) FILTER (group_id <> '__unassigned__' AND n > 1) AS merged,
       count(*) FILTER (group_id <> '__unassigned__' AND n = 1) AS standalone, coalesce(sum(n) FILTER (group_id = '__unassigned__'), 0)::BIGINT AS unassigned
       FROM (SELECT run_id, group_id, count(*) AS n FROM assignment GROUP BY ALL) GROUP BY run_id""",
+    "board_cards": f"""SELECT a.run_id, a.group_id, count(DISTINCT a.member_key) AS checks, sum(g.instance_count) FILTER (c.pos = 1)::BIGINT AS instances,
+      arg_min(lower(coalesce(g.raw_severity, 'informational')), {_RANK.format("lower(coalesce(g.raw_severity, 'informational'))")}) AS severity, count(DISTINCT c.account) AS accounts
+      FROM assignment a JOIN grp g ON a.run_id = g.run_id AND a.member_key = g.member_key
+      JOIN accounts c ON c.run_id = g.run_id AND c.check_id = g.check_id AND c.output_section = g.output_section
+      WHERE a.group_id <> '__unassigned__' GROUP BY a.run_id, a.group_id""",
     "approval_gate": """SELECT run_id, coalesce(sum(n) FILTER (group_id = '__unassigned__'), 0)::BIGINT AS unassigned, count(*) FILTER (group_id <> '__unassigned__') AS groups,
       0::BIGINT AS unnamed, coalesce(sum(n) FILTER (group_id = '__unassigned__'), 0) = 0 AS can_approve
       FROM (SELECT run_id, group_id, count(*) AS n FROM assignment GROUP BY ALL) GROUP BY run_id""",
@@ -414,7 +419,7 @@ SELECTS = {
     "enrich_stats": "SELECT run_id, count(*) AS group_count, count(*) FILTER (NOT failed) AS enriched, count(*) FILTER (failed) AS failed FROM enriched GROUP BY run_id",
     "enrich_warnings": """SELECT run_id, 'LLM_ENRICHMENT_FAILED' AS code, group_name AS check_id, rep.id AS finding_id, '[' || group_name || '] ' || failure_reason AS message
       FROM enriched WHERE failed""",
-    "enrich_audit": """SELECT run_id, rep_id AS finding_instance_id, 4::BIGINT AS stage_no, e.seq::BIGINT AS seq, 'stage3_llm' AS stage, e.field, e.old_value, e.new_value, e.reason, e.actor
+    "enrich_audit": """SELECT run_id, rep_id AS finding_instance_id, 4::BIGINT AS stage_no, e.seq::BIGINT AS seq, 'enrichment' AS stage, e.field, e.old_value, e.new_value, e.reason, e.actor
       FROM (SELECT run_id, rep.id AS rep_id, unnest([x FOR x IN [
         CASE WHEN failed THEN {'seq': 0, 'field': 'llm_enrichment_failed', 'old_value': 'false', 'new_value': 'true', 'reason': failure_reason, 'actor': 'pipeline'} END,
         CASE WHEN enrichment_review IS NOT NULL THEN {'seq': 1, 'field': 'human_review_required', 'old_value': 'false', 'new_value': 'true', 'reason': enrichment_review, 'actor': 'pipeline'} END,
@@ -469,9 +474,9 @@ SELECTS = {
       'Finding title:' || chr(10) || '  ' || finding_title, 'Root cause:' || chr(10) || '  ' || root_cause, 'Situation:' || chr(10) || '  ' || situation,
       'Consequence:' || chr(10) || '  ' || consequence, 'Access required:' || chr(10) || '  ' || access_required, 'Failed: ' || failure_reason) AS text FROM enriched""",
     "audit_events": """SELECT run_id, finding_instance_id, stage_no::BIGINT AS stage_no, seq::BIGINT AS seq, stage, field, old_value, new_value, reason, 'pipeline' AS actor FROM audit
-      UNION ALL SELECT run_id, finding_instance_id, 2, 4, 'stage2_grouping', 'instance_count', '1', instance_count::VARCHAR,
+      UNION ALL SELECT run_id, finding_instance_id, 2, 4, 'check_grouping', 'instance_count', '1', instance_count::VARCHAR,
         'Grouped ' || instance_count || ' instance(s) of check_id=''' || check_id || ''' into one output row', 'pipeline' FROM grp
-      UNION ALL SELECT run_id, finding_instance_id, 2, 5, 'stage2_likelihood', 'likelihood_rating', NULL, likelihood_rating, likelihood_reason, 'pipeline' FROM grp""",
+      UNION ALL SELECT run_id, finding_instance_id, 2, 5, 'likelihood', 'likelihood_rating', NULL, likelihood_rating, likelihood_reason, 'pipeline' FROM grp""",
     "merge_audit": """SELECT m.run_id, m.rep.id AS finding_instance_id, 3::BIGINT AS stage_no, 0::BIGINT AS seq, 'grouping' AS stage, 'semantic_group' AS field, check_ids AS old_value,
         m.group_name AS new_value, 'Semantic merge: ' || m.rationale AS reason, 'llm' AS actor FROM merged m WHERE is_merged
       UNION ALL SELECT m.run_id, m.rep.id, 3, 1, 'grouping', 'likelihood_rating', g.likelihood_rating, m.likelihood_rating,
@@ -520,12 +525,12 @@ SELECTS = {
       SELECT *, row_number() OVER (PARTITION BY run_id, group_no, details ORDER BY member_pos) AS n FROM catt WHERE details IS NOT NULL) WHERE n = 1""",
     "control_audit": """SELECT run_id, finding_instance_id, e.stage_no::BIGINT AS stage_no, e.seq::BIGINT AS seq, e.stage, e.field, e.old_value, e.new_value, e.reason, 'pipeline' AS actor FROM (
       SELECT run_id, finding_instance_id, unnest([x FOR x IN [
-        CASE WHEN control_id = '' THEN {'stage_no': 1, 'seq': 0, 'stage': 'sg_ingest', 'field': 'human_review_required', 'old_value': 'false', 'new_value': 'true',
+        CASE WHEN control_id = '' THEN {'stage_no': 1, 'seq': 0, 'stage': 'ingest', 'field': 'human_review_required', 'old_value': 'false', 'new_value': 'true',
           'reason': 'Row ' || row_no || ': Control ID is blank — cannot resolve service or build keys'} END,
-        {'stage_no': 1, 'seq': 1, 'stage': 'sg_ingest', 'field': 'ingested', 'old_value': NULL, 'new_value': control_id, 'reason': 'Parsed from row ' || row_no},
-        CASE WHEN filter_reason IS NOT NULL AND NOT is_duplicate THEN {'stage_no': 2, 'seq': 0, 'stage': 'sg_process', 'field': 'report_inclusion', 'old_value': 'INCLUDED',
+        {'stage_no': 1, 'seq': 1, 'stage': 'ingest', 'field': 'ingested', 'old_value': NULL, 'new_value': control_id, 'reason': 'Parsed from row ' || row_no},
+        CASE WHEN filter_reason IS NOT NULL AND NOT is_duplicate THEN {'stage_no': 2, 'seq': 0, 'stage': 'process', 'field': 'report_inclusion', 'old_value': 'INCLUDED',
           'new_value': 'EXCLUDED', 'reason': filter_reason} END,
-        CASE WHEN is_duplicate THEN {'stage_no': 2, 'seq': 1, 'stage': 'sg_process', 'field': 'report_inclusion', 'old_value': CASE WHEN filter_reason IS NULL THEN 'INCLUDED' ELSE 'EXCLUDED' END,
+        CASE WHEN is_duplicate THEN {'stage_no': 2, 'seq': 1, 'stage': 'process', 'field': 'report_inclusion', 'old_value': CASE WHEN filter_reason IS NULL THEN 'INCLUDED' ELSE 'EXCLUDED' END,
           'new_value': 'EXCLUDED', 'reason': 'Duplicate of ' || duplicate_of || ' (same dedup_key)'} END
       ] IF x IS NOT NULL]) AS e FROM cproc)""",
     "control_report": """SELECT run_id, section, 'heading' AS kind, 0::BIGINT AS ref_number, '' AS ref, section AS finding, '' AS risk_rating, '' AS root_cause, '' AS likelihood,

@@ -129,9 +129,13 @@ def test_nested_findings(spark, tmp_path):
         "cloud": {"region": "eu", "account": {"uid": "111122223333"}}, "resources": [{"uid": "u", "group": {"name": "s3"}, "labels": ["k:v", ""]}],
         "unmapped": {"categories": ["a", "b"], "compliance": {"CIS": ["1", "2"], "X": "9"}, "additional_urls": ["", "http://u"]},
     }
-    (tmp_path / "n.json").write_text(json.dumps([doc]))
+    (tmp_path / "n.export").write_text(json.dumps([doc]))
+    (tmp_path / "scan.txt").write_text(csv_text())
+    (tmp_path / "old.xlsx").write_bytes(b"PK")
     scan = read_findings(spark, str(tmp_path))
-    r = scan.rows.first()
+    assert scan.rows.count() == 31
+    assert [r.reason for r in scan.rejected.collect()] == ["spreadsheets are not read"]
+    r = scan.rows.filter("sheet_name = 'json'").first()
     assert (r.raw_check_id, r.raw_region, r.raw_severity, r.raw_muted, r.raw_service_name) == ("s3_x", "eu", "high", "True", "s3")
     assert (r.raw_compliance, r.raw_categories, r.raw_resource_tags) == ("CIS: 1 | CIS: 2 | X: 9", "a | b", "k:v")
     assert (r.raw_provider, r.raw_remediation_recommendation_url, r.raw_check_type) == ("aws", "http://u", "T")
