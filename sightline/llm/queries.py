@@ -6,14 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sightline.llm import bpe
+from sightline.llm.simhash import near_duplicate_groups
 from sightline.llm.substring_dedup import remove_repeated_passages
 
+BYTE_BPE = "byte_bpe_50k.tiktoken"
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeated_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    tokens = bpe.load_ranks(public_tokenizers.path(BYTE_BPE))
+    encoded = bpe.encode(docs, tokens, public_tokenizers.PATTERN, keep_ids=False)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_simhash": op2_simhash,
+    "op9_byte_bpe": op9_byte_bpe,
 }
