@@ -1,3 +1,32 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from sightline.llm.chat_format import CONTROLS
+
+
+def _escaped_length(column: str) -> str:
+    """Length of a text after escaping: one more for each backslash and each control string."""
+    counts = [f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in ("\\", *CONTROLS)]
+    return " + ".join([f"length({column})", *counts])
+
+
+_CHAT = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, {_escaped_length("text")} + CASE role
+      WHEN 'user' THEN length('<s>[INST] ') + length(' [/INST]</s>')
+      WHEN 'assistant' THEN length('<s></s>')
+      ELSE length('<s>[ROLE][/ROLE]</s>') + {_escaped_length("role")} END AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op3_chat_format": _CHAT}

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sightline.llm import bpe
+from sightline.llm.chat_format import digest_conversations, format_conversations
+from sightline.llm.langid import identify
+from sightline.llm.quality import judge
 from sightline.llm.simhash import near_duplicate_groups
 from sightline.llm.substring_dedup import remove_repeated_passages
 
@@ -22,6 +26,27 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: A conversation whose texts hold the control strings of the format.
+CONTROL_CONVERSATION = """SELECT * FROM VALUES
+    (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"""
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return digest_conversations(format_conversations(turns.union(spark.sql(CONTROL_CONVERSATION))))
+
+
+def fifth(doc_id: str = "doc_id") -> Column:
+    """The fifth of the documents that a row belongs to."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    found = identify(docs, is_training=fifth() != 0)
+    return found.select("doc_id", F.coalesce(fifth() == 0, F.lit(True)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,8 +56,18 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
+    "op3_chat_format": op3_chat_format,
+    "op7_language_id": op7_language_id,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_quality_rules": op10_quality_rules,
 }

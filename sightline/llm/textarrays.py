@@ -104,3 +104,9 @@ def window_hashes(word_hashes: np.ndarray, first: np.ndarray, width: int) -> tup
         fits[at] = False
     starts = np.flatnonzero(fits)
     return mix(h[starts]), starts
+
+
+def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags are set in each text."""
+    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    return total[offsets[1:]] - total[offsets[:-1]]
