@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import bpe
 from sightline.llm.chat_format import digest_conversations, format_conversations
+from sightline.llm.decontaminate import contaminated
 from sightline.llm.langid import identify
 from sightline.llm.quality import judge
 from sightline.llm.simhash import near_duplicate_groups
@@ -36,6 +37,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_conversations(format_conversations(turns.union(spark.sql(CONTROL_CONVERSATION))))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def fifth(doc_id: str = "doc_id") -> Column:
     """The fifth of the documents that a row belongs to."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
     "op3_chat_format": op3_chat_format,
+    "op4_decontamination": op4_decontamination,
     "op7_language_id": op7_language_id,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
