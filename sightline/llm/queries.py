@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.llm import bpe
 from sightline.llm.chat_format import digest_conversations, format_conversations
 from sightline.llm.decontaminate import contaminated
+from sightline.llm.html_text import extract
 from sightline.llm.langid import identify
 from sightline.llm.quality import judge
 from sightline.llm.simhash import near_duplicate_groups
@@ -42,6 +43,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def fifth(doc_id: str = "doc_id") -> Column:
     """The fifth of the documents that a row belongs to."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_chat_format": op3_chat_format,
     "op4_decontamination": op4_decontamination,
+    "op5_html_extraction": op5_html_extraction,
     "op7_language_id": op7_language_id,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
