@@ -15,6 +15,7 @@ from sightline.llm.langid import identify
 from sightline.llm.quality import judge
 from sightline.llm.simhash import near_duplicate_groups
 from sightline.llm.substring_dedup import remove_repeated_passages
+from sightline.llm.url_filter import judge_urls
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 
@@ -59,6 +60,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fifth() == 0, F.lit(True)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_html_extraction": op5_html_extraction,
     "op7_language_id": op7_language_id,
+    "op8_url_filter": op8_url_filter,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
