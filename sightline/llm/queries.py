@@ -12,6 +12,7 @@ from sightline.llm.chat_format import digest_conversations, format_conversations
 from sightline.llm.decontaminate import contaminated
 from sightline.llm.html_text import extract
 from sightline.llm.langid import identify
+from sightline.llm.lm_scoring import score_documents
 from sightline.llm.quality import judge
 from sightline.llm.simhash import near_duplicate_groups
 from sightline.llm.substring_dedup import remove_repeated_passages
@@ -54,6 +55,15 @@ def fifth(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    tokens = bpe.load_ranks(public_tokenizers.path(BYTE_BPE))
+    scored = score_documents(docs, is_training=fifth() != 1, tokens=tokens)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     found = identify(docs, is_training=fifth() != 0)
@@ -87,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_decontamination": op4_decontamination,
     "op5_html_extraction": op5_html_extraction,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_byte_bpe": op9_byte_bpe,
