@@ -1,5 +1,6 @@
 """Analyst decisions: board edits, approvals, overrides."""
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,79 +12,87 @@ UNASSIGNED = "__unassigned__"
 SPLIT = "split:"
 
 
-def board_assignment(members: DataFrame, edits: DataFrame) -> DataFrame:
-    """Where every check of a board ends up after its edits, in edit order.
+_REPLAYED = (
+    "run_id string, member_key string, group_id string, moved_at long, group_name string, rationale string, risk_rating_override string"
+)
 
-    ``edits`` holds ``run_id, seq, op, check_id, group_id, value``:
-
-    * ``move``   check to ``group_id`` (or to the unassigned pool)
-    * ``delete`` group: its checks go to the pool
-    * ``split``  group: each of its checks becomes a group of its own
-    * ``reset``  the board returns to the proposal
-
-    A check sits where its last move put it, unless the group it sat in was
-    deleted or split afterwards.  Edits before the last reset of a run do not count.
-    All joins are equal-key joins on a check or a group of one run.
-    """
-    live = _since_reset(edits)
-    moves = (
-        live.filter("op = 'move'").groupBy("run_id", F.col("check_id").alias("member_key"))
-        .agg(F.max_by("group_id", "seq").alias("moved_to"), F.max("seq").alias("moved_at"))
-    )
-    # A dissolved group's checks leave it together, so a later move out of the
-    # pool is the check's own last move and is already covered above.
-    dissolved = (
-        live.filter("op IN ('delete', 'split')").groupBy("run_id", "group_id")
-        .agg(F.max("seq").alias("dissolved_at"), F.max_by("op", "seq").alias("dissolved_by"))
-    )
-    placed = (
-        members.select("run_id", "member_key", F.col("group_id").alias("proposed")).distinct()
-        .join(moves, ["run_id", "member_key"], "left")
-        .withColumn("group_id", F.coalesce("moved_to", "proposed"))
-        .join(dissolved, ["run_id", "group_id"], "left")
-    )
-    gone = F.col("dissolved_at") > F.coalesce("moved_at", F.lit(-1))
-    after = F.when(F.col("dissolved_by") == "delete", UNASSIGNED).otherwise(
-        F.concat(F.lit(SPLIT), "member_key")
-    )
-    return placed.select(
-        "run_id", "member_key",
-        F.when(gone, after).otherwise(F.col("group_id")).alias("group_id"),
-        F.col("moved_at"),
-    )
 
+def replay_boards(board: DataFrame, edits: DataFrame) -> DataFrame:
+    """Boards after their edits: a row for each check, and one without ``member_key`` for each group left.
 
-def _since_reset(edits: DataFrame) -> DataFrame:
-    reset = edits.filter("op = 'reset'").groupBy("run_id").agg(F.max("seq").alias("_reset"))
-    return edits.join(reset, "run_id", "left").filter(F.col("seq") > F.coalesce("_reset", F.lit(-1))).drop("_reset")
+    ``board`` holds ``run_id, member_key, group_id`` and, where known, ``group_name, rationale, title`` (of the
+    check).  ``edits`` holds ``run_id, seq, op, check_id, group_id, value``:
 
+    * ``move``   check to ``group_id``, or to the unassigned pool
+    * ``new``    group ``group_id`` with the name ``value``
+    * ``delete`` group: its checks go to the pool
+    * ``split``  group of two checks or more: each becomes a group of its own, named by its title
+    * ``rename``, ``rationale``, ``risk``  of a group; a blank name is ignored
+    * ``reset``  the board returns to the proposal
 
-def board_groups(groups: DataFrame, edits: DataFrame) -> DataFrame:
-    """Name, rationale and risk override of every group: the latest edit of each wins.
-
-    ``groups`` holds ``run_id, group_id, group_name, rationale``.  New groups
-    come from ``new`` edits.  A blank rename is ignored.
+    Edits apply in order to the groups there are at that moment, split-off and new ones included; edits of
+    a group that is gone do nothing.  One board, which one person edits by hand, is replayed in one task.
     """
-    live = _since_reset(edits)
-    created = live.filter("op = 'new'").select(
-        "run_id", "group_id", F.coalesce("value", F.lit("New Group — rename me")).alias("group_name"),
-        F.lit("").alias("rationale"),
-    )
-    latest = lambda op: F.max_by(F.when(F.col("op") == op, F.col("value")), F.when(F.col("op") == op, F.col("seq")))
-    named = live.filter((F.col("op") != "rename") | (strip(F.col("value")) != ""))
-    changed = named.groupBy("run_id", "group_id").agg(
-        strip(latest("rename")).alias("new_name"), latest("rationale").alias("new_rationale"),
-        latest("risk").alias("risk_rating_override"),
-    )
-    return (
-        groups.select("run_id", "group_id", "group_name", "rationale").unionByName(created)
-        .join(changed, ["run_id", "group_id"], "left")
-        .select(
-            "run_id", "group_id", F.coalesce("new_name", "group_name").alias("group_name"),
-            F.coalesce("new_rationale", "rationale").alias("rationale"),
-            F.nullif("risk_rating_override", F.lit("")).alias("risk_rating_override"),
-        )
-    )
+    blank = {"group_name": F.col("group_id"), "rationale": F.lit(""), "title": F.col("member_key")}
+    held = board.select("run_id", "member_key", "group_id", *[(F.col(c) if c in board.columns else v).alias(c) for c, v in blank.items()])
+    held = held.toDF(*held.columns)
+    steps = edits.select(F.col("run_id").alias("edit_run"), F.col("seq").cast("long").alias("seq"), "op", "check_id", F.col("group_id").alias("edit_group"), "value")
+    return held.groupBy("run_id").cogroup(steps.groupBy("edit_run")).applyInPandas(_replay, _REPLAYED)
+
+
+def _replay(board: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame:
+    board = board.drop_duplicates("member_key").sort_values("member_key")
+    title = {k: (t or "").strip() or k for k, t in zip(board.member_key, board.title)}
+
+    def proposed() -> tuple[dict, dict]:
+        boxes = {g: [n, r or "", None] for g, n, r in zip(board.group_id, board.group_name, board.rationale)}
+        return boxes, {k: (g, None) for k, g in zip(board.member_key, board.group_id)}
+
+    boxes, place = proposed()
+    for e in edits.sort_values("seq").itertuples():
+        value = e.value if isinstance(e.value, str) else None
+        if e.op == "reset":
+            boxes, place = proposed()
+        elif e.op == "new":
+            boxes[e.edit_group] = [value or "New Group — rename me", "", None]
+        elif e.op == "move":
+            if e.check_id in place and (e.edit_group in boxes or e.edit_group == UNASSIGNED):
+                place[e.check_id] = (e.edit_group, e.seq)
+        elif e.edit_group not in boxes:
+            continue
+        elif e.op in ("delete", "split"):
+            inside = [k for k, (g, _) in place.items() if g == e.edit_group]
+            if e.op == "split" and len(inside) < 2:
+                continue
+            name = boxes.pop(e.edit_group)[0]
+            for k in inside:
+                own = SPLIT + k
+                place[k] = (UNASSIGNED if e.op == "delete" else own, place[k][1])
+                if e.op == "split":
+                    boxes[own] = [title[k], f"Split from: {name}", None]
+        elif e.op == "rename":
+            boxes[e.edit_group][0] = (value or "").strip() or boxes[e.edit_group][0]
+        elif e.op == "rationale":
+            boxes[e.edit_group][1] = value or ""
+        elif e.op == "risk":
+            boxes[e.edit_group][2] = value or None
+    if not len(board):
+        return pd.DataFrame({f.split()[0]: [] for f in _REPLAYED.split(", ")})
+    run = board.run_id.iloc[0]
+    checks = [(run, k, g, at, None, None, None) for k, (g, at) in place.items()]
+    groups = [(run, None, g, None, *box) for g, box in boxes.items()]
+    out = pd.DataFrame(checks + groups, columns=[f.split()[0] for f in _REPLAYED.split(", ")])
+    return out.astype({"moved_at": "Int64"})
+
+
+def board_assignment(replayed: DataFrame) -> DataFrame:
+    """Where every check of a replayed board is."""
+    return replayed.filter("member_key IS NOT NULL").select("run_id", "member_key", "group_id", "moved_at")
+
+
+def board_groups(replayed: DataFrame) -> DataFrame:
+    """Name, rationale and risk override of every group of a replayed board, empty ones included."""
+    return replayed.filter("member_key IS NULL").select("run_id", "group_id", "group_name", "rationale", "risk_rating_override")
 
 
 def unassigned(assignment: DataFrame) -> DataFrame:
@@ -93,7 +102,7 @@ def unassigned(assignment: DataFrame) -> DataFrame:
 
 def approval_gate(assignment: DataFrame, groups: DataFrame) -> DataFrame:
     """Per run: unassigned checks, unnamed groups, groups left; approved only when sound."""
-    pool, split = F.col("group_id") == UNASSIGNED, F.startswith("group_id", F.lit(SPLIT))
+    pool = F.col("group_id") == UNASSIGNED
     used = assignment.groupBy("run_id", "group_id").agg(F.count(F.lit(1)).alias("checks"))
     return (
         used.join(groups, ["run_id", "group_id"], "left")
@@ -101,7 +110,7 @@ def approval_gate(assignment: DataFrame, groups: DataFrame) -> DataFrame:
         .agg(
             F.coalesce(F.sum(F.when(pool, F.col("checks"))), F.lit(0)).alias("unassigned"),
             F.count_if(~pool).alias("groups"),
-            F.count_if(~pool & ~split & (strip(F.coalesce("group_name", F.lit(""))) == "")).alias("unnamed"),
+            F.count_if(~pool & (strip(F.coalesce("group_name", F.lit(""))) == "")).alias("unnamed"),
         )
         .withColumn(
             "can_approve", (F.col("unassigned") == 0) & (F.col("unnamed") == 0) & (F.col("groups") > 0)
@@ -142,15 +151,9 @@ def board_cards(assignment: DataFrame, groups: DataFrame, accounts: DataFrame) -
 def approvals_from_board(assignment: DataFrame, groups: DataFrame) -> DataFrame:
     """Approved members ``(run_id, group_no, group_name, …, pos, member_key)`` of a board.
 
-    Groups without checks never reach the result; a split-off check is named
-    after itself.
+    Groups without checks never reach the result.
     """
-    held = (
-        assignment.filter(F.col("group_id") != UNASSIGNED).join(groups, ["run_id", "group_id"], "left")
-        .withColumns({
-            "group_name": F.coalesce("group_name", "member_key"), "rationale": F.coalesce("rationale", F.lit("")),
-        })
-    )
+    held = assignment.filter(F.col("group_id") != UNASSIGNED).join(groups, ["run_id", "group_id"])
     by_group = Window.partitionBy("run_id").orderBy("group_id")
     in_group = Window.partitionBy("run_id", "group_id").orderBy(F.coalesce("moved_at", F.lit(-1)), "member_key")
     return held.select(
@@ -184,7 +187,8 @@ def apply_override(merged: DataFrame, overrides: DataFrame, allowed: tuple | Non
 
 def carry_forward(old: DataFrame, new: DataFrame, resources: DataFrame) -> DataFrame:
     """State of regrouped boards: section of the first member, the override when
-    all members agree on one, and the number of resources carried over.
+    all members that have one agree, and the number of resources carried over.
+    The board of resource findings does not inherit overrides: leave them out of ``old``.
 
     ``old``: ``run_id, member_key, output_section, risk_rating_override`` per
     member; ``new``: ``run_id, group_no, group_name, pos, member_key``;
@@ -192,13 +196,13 @@ def carry_forward(old: DataFrame, new: DataFrame, resources: DataFrame) -> DataF
     """
     carried = resources.select("run_id", "member_key", "resource").distinct()
     counts = carried.groupBy("run_id", "member_key").agg(F.count(F.lit(1)).alias("resources"))
-    override = F.coalesce("risk_rating_override", F.lit(""))
+    override = F.nullif("risk_rating_override", F.lit(""))
     return (
         new.join(old, ["run_id", "member_key"], "left").join(counts, ["run_id", "member_key"], "left")
         .groupBy("run_id", "group_no", "group_name")
         .agg(
-            F.min_by("output_section", F.when(F.col("output_section").isNotNull(), F.col("pos"))).alias("output_section"),
-            F.when(F.min(override) == F.max(override), F.nullif(F.min(override), F.lit(""))).alias("risk_rating_override"),
+            F.coalesce(F.min_by("output_section", "pos"), F.lit("Other")).alias("output_section"),
+            F.when(F.min(override) == F.max(override), F.min(override)).alias("risk_rating_override"),
             F.coalesce(F.sum("resources"), F.lit(0)).alias("resources"),
             (F.count(F.lit(1)) > 1).alias("is_merged"),
         )

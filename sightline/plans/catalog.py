@@ -142,16 +142,18 @@ class Tables:
 
     @_once
     def board(self) -> DataFrame:
-        return fixtures.board(self.members())
+        titles = self.groups().select("run_id", "member_key", F.col("raw_check_title").alias("title"))
+        return fixtures.board(self.members()).join(titles, ["run_id", "member_key"])
 
     @_once
+    def replayed(self) -> DataFrame:
+        return materialise(approvals.replay_boards(self.board(), self.edits()), "boards")
+
     def assignment(self) -> DataFrame:
-        return approvals.board_assignment(self.board(), self.edits())
+        return approvals.board_assignment(self.replayed())
 
-    @_once
     def board_groups(self) -> DataFrame:
-        boxes = self.board().select("run_id", "group_id", "group_name", "rationale").distinct()
-        return approvals.board_groups(boxes, self.edits())
+        return approvals.board_groups(self.replayed())
 
     @_once
     def warnings(self) -> DataFrame:

@@ -58,6 +58,16 @@ def board_edits(members: DataFrame, groups: DataFrame) -> DataFrame:
         "run_id", F.lit(seq).alias("seq"), F.lit(op).alias("op"), F.lit(None).cast("string").alias("check_id"),
         F.lit(group).cast("string").alias("group_id"), F.lit(None).cast("string").alias("value"),
     )
+    # edits of groups that only exist once a group has been split, and a move into one of them
+    on_split = lambda test, seq, op, value: checks.filter(test).select(
+        "run_id", seq.alias("seq"), F.lit(op).alias("op"), F.lit(None).cast("string").alias("check_id"),
+        F.concat(F.lit("split:"), "member_key").alias("group_id"), value.alias("value"),
+    )
+    target = members.filter("group_no = 4").groupBy("run_id").agg(F.concat(F.lit("split:"), F.min("member_key")).alias("target"))
+    into_split = checks.filter("group_order = 2").join(target, "run_id").select(
+        "run_id", F.lit(50000).alias("seq"), F.lit("move").alias("op"), F.col("member_key").alias("check_id"),
+        F.col("target").alias("group_id"), F.lit(None).cast("string").alias("value"),
+    )
     order, no, none = F.col("group_order"), F.col("group_no"), F.lit(None).cast("string")
     number = no.cast("string")
     edits = [
@@ -72,6 +82,10 @@ def board_edits(members: DataFrame, groups: DataFrame) -> DataFrame:
         on_group(no % 3 == 1, no + 950, "rationale", F.concat(F.lit("Edited "), number)),
         once(F.col("run_id") == "ASIA", 12, "reset", None),
         once(F.lit(True), 2000, "new", "gnew"),
+        on_split(order % 3 == 0, order + 20000, "rename", F.concat(F.lit("Own "), order.cast("string"))),
+        on_split(order % 4 == 1, order + 30000, "risk", F.lit("High")),
+        on_split(order % 13 == 2, order + 40000, "delete", none),
+        into_split,
     ]
     out = edits[0]
     for e in edits[1:]:

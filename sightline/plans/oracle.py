@@ -159,23 +159,35 @@ CTES = {
         chr(10) || chr(10) ORDER BY member_pos)
       ELSE max(concat_ws(chr(10), raw_remediation_recommendation_text, 'CLI: ' || raw_remediation_code_cli, 'Terraform: ' || raw_remediation_code_terraform)) END AS recommendations
       FROM att GROUP BY run_id, group_no""",
-    "board": """SELECT m.*, 'g' || m.group_no AS group_id, g.group_order FROM members m JOIN grp g ON m.run_id = g.run_id AND m.member_key = g.member_key""",
+    "board": """SELECT m.*, 'g' || m.group_no AS group_id, g.group_order, g.raw_check_title FROM members m JOIN grp g ON m.run_id = g.run_id AND m.member_key = g.member_key""",
     "boxes": "SELECT DISTINCT run_id, group_no, group_id, group_name, rationale FROM board",
-    "moves": """SELECT run_id, member_key, arg_max(target, seq) AS moved_to, max(seq) AS moved_at FROM (
-      SELECT run_id, member_key, group_order AS seq, 'g1' AS target FROM board WHERE group_order % 5 = 0
+    "mv": """SELECT * FROM (SELECT run_id, member_key, group_order AS seq, 'g1' AS target FROM board WHERE group_order % 5 = 0
       UNION ALL SELECT run_id, member_key, group_order + 1000, '__unassigned__' FROM board WHERE group_order % 11 = 0
       UNION ALL SELECT run_id, member_key, group_order + 5000, 'gnew' FROM board WHERE group_order = 7)
-      WHERE NOT (run_id = 'ASIA' AND seq <= 12) GROUP BY ALL""",
-    "assignment": """SELECT p.run_id, p.member_key, moved_at, CASE
+      WHERE NOT (run_id = 'ASIA' AND seq <= 12)""",
+    "moves": "SELECT run_id, member_key, arg_max(target, seq) AS moved_to, max(seq) AS moved_at FROM mv GROUP BY ALL",
+    "splitting": """SELECT *, count(*) OVER (PARTITION BY run_id, group_no) > 1 AS parted FROM board b WHERE group_no % 6 = 4
+      AND NOT EXISTS (SELECT 1 FROM mv WHERE mv.run_id = b.run_id AND mv.member_key = b.member_key AND mv.seq < b.group_no + 600)""",
+    "split_boxes": "SELECT * FROM splitting WHERE parted AND group_order % 13 <> 2",
+    "last_move": """SELECT b.run_id, b.member_key, s.group_id, b.group_order FROM board b
+      JOIN (SELECT run_id, 'split:' || min(member_key) AS group_id FROM board WHERE group_no = 4 GROUP BY run_id) s ON b.run_id = s.run_id
+      JOIN split_boxes x ON x.run_id = s.run_id AND 'split:' || x.member_key = s.group_id WHERE b.group_order = 2""",
+    "assignment": """SELECT p.run_id, p.member_key, coalesce(CASE WHEN l.group_id IS NOT NULL THEN 50000 END, moved_at) AS moved_at, CASE
+        WHEN l.group_id IS NOT NULL THEN l.group_id
         WHEN gid LIKE 'g%' AND no % 6 = 5 AND no + 500 > coalesce(moved_at, -1) THEN '__unassigned__'
-        WHEN gid LIKE 'g%' AND no % 6 = 4 AND no + 600 > coalesce(moved_at, -1) THEN 'split:' || p.member_key ELSE gid END AS group_id
+        WHEN s.parted AND no + 600 > coalesce(moved_at, -1) THEN CASE WHEN s.group_order % 13 = 2 THEN '__unassigned__' ELSE 'split:' || p.member_key END
+        ELSE gid END AS group_id
       FROM (SELECT b.run_id, b.member_key, m.moved_at, coalesce(m.moved_to, b.group_id) AS gid,
         try_cast(substr(coalesce(m.moved_to, b.group_id), 2) AS BIGINT) AS no
-        FROM board b LEFT JOIN moves m ON b.run_id = m.run_id AND b.member_key = m.member_key) p""",
+        FROM board b LEFT JOIN moves m ON b.run_id = m.run_id AND b.member_key = m.member_key) p
+      LEFT JOIN splitting s ON s.run_id = p.run_id AND s.member_key = p.member_key LEFT JOIN last_move l ON l.run_id = p.run_id AND l.member_key = p.member_key""",
     "bgroups": """SELECT run_id, group_id, CASE WHEN group_no % 2 = 0 THEN 'Renamed ' || group_no ELSE group_name END AS group_name,
       CASE WHEN group_no % 3 = 1 THEN 'Edited ' || group_no ELSE rationale END AS rationale,
       CASE WHEN group_no % 3 = 0 THEN CASE WHEN group_no % 2 = 0 THEN 'Low' ELSE 'Critical' END END AS risk_rating_override FROM boxes
-      UNION ALL SELECT DISTINCT run_id, 'gnew', 'New Group — rename me', '', NULL FROM boxes""",
+      WHERE group_no % 6 <> 5 AND (run_id, group_no) NOT IN (SELECT (run_id, group_no) FROM splitting WHERE parted)
+      UNION ALL SELECT DISTINCT run_id, 'gnew', 'New Group — rename me', '', NULL FROM boxes
+      UNION ALL SELECT run_id, 'split:' || member_key, CASE WHEN group_order % 3 = 0 THEN 'Own ' || group_order ELSE coalesce(nullif(trim(raw_check_title), ''), member_key) END,
+        'Split from: ' || group_name, CASE WHEN group_order % 4 = 1 THEN 'High' END FROM split_boxes""",
     "warn": """SELECT run_id, 'ingest' AS stage, w.code AS code, w.message AS message, row_no, raw_check_id AS check_id, finding_instance_id AS finding_id FROM (
       SELECT *, unnest([x FOR x IN [
         CASE WHEN muted_reconciled THEN {'code': 'MUTED_STATUS_RECONCILED', 'message': 'MUTED=True overrides STATUS=''' || raw_status || ''': now ''' || scanner_status || ''''} END,
@@ -395,11 +407,11 @@ SELECTS = {
       0::BIGINT AS unnamed, coalesce(sum(n) FILTER (group_id = '__unassigned__'), 0) = 0 AS can_approve
       FROM (SELECT run_id, group_id, count(*) AS n FROM assignment GROUP BY ALL) GROUP BY run_id""",
     "unassigned_pool": "SELECT run_id, member_key FROM assignment WHERE group_id = '__unassigned__'",
-    "approvals_from_board": """SELECT a.run_id, dense_rank() OVER (PARTITION BY a.run_id ORDER BY a.group_id) AS group_no, coalesce(b.group_name, a.member_key) AS group_name,
+    "approvals_from_board": """SELECT a.run_id, dense_rank() OVER (PARTITION BY a.run_id ORDER BY a.group_id) AS group_no, b.group_name,
       row_number() OVER (PARTITION BY a.run_id, a.group_id ORDER BY coalesce(moved_at, -1), a.member_key) AS pos, a.member_key, b.risk_rating_override
       FROM assignment a LEFT JOIN bgroups b ON a.run_id = b.run_id AND a.group_id = b.group_id WHERE a.group_id <> '__unassigned__'""",
     "carry_forward": """SELECT g.run_id, g.group_no, g.group_name, arg_min(g.output_section, g.pos) AS output_section,
-      CASE WHEN min(a.risk_rating_override) = max(a.risk_rating_override) THEN nullif(min(a.risk_rating_override), '') END AS risk_rating_override,
+      CASE WHEN count(DISTINCT nullif(a.risk_rating_override, '')) = 1 THEN max(a.risk_rating_override) END AS risk_rating_override,
       count(*) FILTER (g.resource_uid_normalised <> '') AS resources, count(*) > 1 AS is_merged
       FROM (SELECT *, dense_rank() OVER (PARTITION BY run_id ORDER BY group_name) AS group_no, row_number() OVER (PARTITION BY run_id, group_name ORDER BY member_key) AS pos
         FROM (SELECT *, split_part(member_key, '_', 1) AS group_name FROM grp)) g

@@ -128,11 +128,21 @@ def test_board_edits(spark):
         ("r", 1, "move", "a", "g3", None), ("r", 2, "delete", None, "g3", None), ("r", 3, "move", "e", "g1", None),
         ("r", 4, "split", None, "g2", None), ("r", 5, "move", "c", "__unassigned__", None),
     ], "run_id STRING, seq INT, op STRING, check_id STRING, group_id STRING, value STRING")
-    got = {r.member_key: r.group_id for r in approvals.board_assignment(members, edits).collect()}
+    got = {r.member_key: r.group_id for r in approvals.board_assignment(approvals.replay_boards(members, edits)).collect()}
     pool = approvals.UNASSIGNED
     assert got == {"a": pool, "b": "g1", "c": pool, "d": "split:d", "e": "g1", "f": pool}
+    later = edits.unionByName(spark.createDataFrame([
+        ("r", 6, "rename", None, "split:d", " Mine "), ("r", 7, "risk", None, "split:d", "High"), ("r", 8, "move", "b", "split:d", None),
+        ("r", 9, "rename", None, "g2", "gone"), ("r", 10, "split", None, "g1", None), ("r", 11, "move", "c", "g3", None),
+    ], edits.schema))
+    replayed = approvals.replay_boards(members.withColumn("title", F.upper("member_key")), later)
+    assert {r.member_key: r.group_id for r in approvals.board_assignment(replayed).collect()} == {"a": pool, "b": "split:d", "c": pool, "d": "split:d", "e": "g1", "f": pool}
+    boxes = {r.group_id: (r.group_name, r.rationale, r.risk_rating_override) for r in approvals.board_groups(replayed).collect()}
+    assert boxes == {"g1": ("g1", "", None), "split:c": ("C", "Split from: g2", None), "split:d": ("Mine", "Split from: g2", "High")}
+    approved = approvals.approvals_from_board(approvals.board_assignment(replayed), approvals.board_groups(replayed)).collect()
+    assert sorted((r.group_no, r.group_name, r.member_key) for r in approved) == [(1, "g1", "e"), (2, "Mine", "b"), (2, "Mine", "d")]
     reset = edits.unionByName(spark.createDataFrame([("r", 9, "reset", None, None, None)], edits.schema))
-    assert {r.member_key: r.group_id for r in approvals.board_assignment(members, reset).collect()} == dict(zip("abcdef", ["g1", "g1", "g2", "g2", "g3", "g3"]))
+    assert {r.member_key: r.group_id for r in approvals.board_assignment(approvals.replay_boards(members, reset)).collect()} == dict(zip("abcdef", ["g1", "g1", "g2", "g2", "g3", "g3"]))
 
 
 def test_approval_files(spark, tmp_path):
