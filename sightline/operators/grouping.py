@@ -267,7 +267,7 @@ def merge_audit(merged: DataFrame, groups: DataFrame, members: DataFrame, approv
         F.col("likelihood_rating").alias("old_likelihood"),
     )
     base = merged.select(
-        "run_id", "group_name", "rationale", "is_merged", "likelihood_rating",
+        "run_id", "group_name", "rationale", "is_merged", "likelihood_rating", *[c for c in merged.columns if c == "analyst_note"],
         F.array_join("check_ids", ", ").alias("ids"), "representative.*",
     ).join(rep, ["run_id", "check_id", "section"])
     event = lambda seq, field, old, new, reason, actor: F.struct(
@@ -275,7 +275,8 @@ def merge_audit(merged: DataFrame, groups: DataFrame, members: DataFrame, approv
         new.alias("new_value"), reason.alias("reason"), F.lit(actor).alias("actor"),
     )
     if approved:
-        reason = F.concat(F.lit("Analyst-approved"), F.lit(" grouping."))
+        note = F.nullif(F.trim("analyst_note"), F.lit("")) if "analyst_note" in merged.columns else F.lit(None).cast("string")
+        reason = F.concat_ws(": ", F.lit("Group as approved in review"), note)
         semantic = event(0, "semantic_group", F.col("ids"), F.col("group_name"), reason, "human")
         test, stage = F.lit(True), "review"
     else:

@@ -14,6 +14,7 @@ REPORT_COLUMNS = [
     "ref", "finding", "risk_rating", "root_cause", "likelihood", "consequence_rating",
     "access_required", "situation", "consequence", "recommendations",
 ]
+#: Lines of a row of the resource text table, which bounds a cell.
 LINES_PER_PART = 1000
 
 
@@ -122,27 +123,23 @@ def section_order(section: Column) -> Column:
     return lookup(section, {"AWS": 0, "Azure": 1}, 2)
 
 
-def report_rows(enriched: DataFrame, resources: DataFrame, recommendations: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The ten report columns of resource groups.
+def report_rows(enriched: DataFrame, lines: DataFrame, recommendations: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The ten report columns of resource groups, one row for each group, and the number of its affected resources.
 
-    The situation cell ends with the affected resources.  When their text has
-    several parts the further parts follow as rows with the same ref.
+    ``lines`` are the groups' ``resource_lines``.  They stay a table of their own, joined by run and group: a
+    group may have any number of them.
     """
+    counts = lines.groupBy("run_id", "group_no").agg(F.count(F.lit(1)).alias("affected_resources"))
     rows = (
         assign_refs(enriched, rules)
         .join(recommendations, ["run_id", "group_no"], "left")
-        .join(resources, ["run_id", "group_no"], "left")
-        .withColumn("part_no", F.coalesce("part_no", F.lit(0)))
+        .join(counts, ["run_id", "group_no"], "left")
     )
-    lead = F.col("part_no") == 0
-    story = F.rtrim(F.coalesce("situation_narrative", F.lit("")))
-    situation = F.when(~lead, F.col("resource_text")).when(
-        F.col("resource_text").isNotNull(), F.concat(story, F.lit("\n\n"), "resource_text")
-    ).otherwise(story)
-    cell = lambda c: sanitise_cell(F.when(lead, c).otherwise(""))
+    situation = F.rtrim(F.coalesce("situation_narrative", F.lit("")))
+    cell = sanitise_cell
     return rows.select(
         "run_id", F.col("output_section").alias("sheet"), section_order(F.col("output_section")).alias("sheet_order"),
-        "ref_number", "part_no", sanitise_cell(F.col("ref")).alias("ref"),
+        "group_no", "ref_number", F.coalesce("affected_resources", F.lit(0)).alias("affected_resources"), sanitise_cell(F.col("ref")).alias("ref"),
         cell(text_or(F.col("finding_title"), F.col("group_name"))).alias("finding"),
         cell(text_or(F.col("risk_rating"), "Medium")).alias("risk_rating"),
         cell(F.col("root_cause_narrative")).alias("root_cause"),

@@ -457,7 +457,7 @@ SELECTS = {
         || string_agg('[' || member_key || '] ' || coalesce(raw_check_title, check_id) || ' (severity=' || coalesce(raw_severity, 'None') || ', instances=' || instance_count || ')', chr(10) ORDER BY chunk_pos)
         || '{CHUNK_RULES + ARRAY_ONLY}') AS request_key FROM chunks GROUP BY run_id, chunk_no, chunk_count""",
     "cache_misses": """SELECT DISTINCT sha256('offline::' || check_id) AS request_key, check_id AS prompt FROM grp
-      WHERE check_id NOT IN (SELECT check_id FROM grp WHERE group_order % 3 = 0)""",
+      WHERE substr(sha256(check_id), 1, 1) >= '6' """,
     "resource_lines": "SELECT * FROM lines",
     "resource_text": """SELECT run_id, group_no, part_no, CASE WHEN part_no = 0 THEN 'Affected resources:' || chr(10) ELSE '' END
       || string_agg('  • ' || line, chr(10) ORDER BY pos) AS resource_text FROM (SELECT *, (pos - 1) // 20 AS part_no FROM lines) GROUP BY run_id, group_no, part_no""",
@@ -466,19 +466,14 @@ SELECTS = {
       coalesce(w.raw_status_extended, '') AS status_extended, w.region_normalised AS region, t.group_no, t.member_pos
       FROM work w JOIN att t ON t.run_id = w.run_id AND t.check_id = w.check_id AND t.output_section = w.output_section""",
     "recommendation_text": "SELECT * FROM recs",
-    "report_rows": f"""SELECT run_id, sheet, sheet_order, ref_number, part_no, ref, CASE WHEN part_no = 0 THEN finding ELSE '' END AS finding,
-      CASE WHEN part_no = 0 THEN risk_rating ELSE '' END AS risk_rating, CASE WHEN part_no = 0 THEN root_cause ELSE '' END AS root_cause,
-      CASE WHEN part_no = 0 THEN likelihood ELSE '' END AS likelihood, CASE WHEN part_no = 0 THEN consequence_rating ELSE '' END AS consequence_rating,
-      CASE WHEN part_no = 0 THEN access_required ELSE '' END AS access_required, CASE WHEN part_no = 0 THEN situation ELSE trim(txt) END AS situation,
-      CASE WHEN part_no = 0 THEN consequence ELSE '' END AS consequence, CASE WHEN part_no = 0 THEN recommendations ELSE '' END AS recommendations FROM (
-      SELECT e.run_id, e.output_section AS sheet, CASE e.output_section WHEN 'AWS' THEN 0 WHEN 'Azure' THEN 1 ELSE 2 END::BIGINT AS sheet_order, e.ref_number, coalesce(t.part_no, 0) AS part_no, t.txt,
+    "report_rows": f"""SELECT e.run_id, e.output_section AS sheet, CASE e.output_section WHEN 'AWS' THEN 0 WHEN 'Azure' THEN 1 ELSE 2 END::BIGINT AS sheet_order,
+        e.group_no, e.ref_number, coalesce(t.n, 0) AS affected_resources,
         CASE e.output_section WHEN 'Azure' THEN 'AZ' ELSE e.output_section END || e.ref_number AS ref, {_safe("e.finding_title")} AS finding, {_safe("coalesce(e.risk_rating, 'Medium')")} AS risk_rating,
         {_safe("e.root_cause")} AS root_cause, e.likelihood_rating AS likelihood, e.consequence_rating, e.access_required,
-        e.situation || coalesce(chr(10) || chr(10) || t.txt, '') AS situation, e.consequence, {_safe("r.recommendations")} AS recommendations
+        e.situation AS situation, e.consequence, {_safe("r.recommendations")} AS recommendations
       FROM (SELECT *, row_number() OVER (PARTITION BY run_id, output_section ORDER BY group_no) AS ref_number FROM enriched) e
       LEFT JOIN recs r ON e.run_id = r.run_id AND e.group_no = r.group_no
-      LEFT JOIN (SELECT run_id, group_no, part_no, CASE WHEN part_no = 0 THEN 'Affected resources:' || chr(10) ELSE '' END
-        || string_agg('  • ' || line, chr(10) ORDER BY pos) AS txt FROM (SELECT *, (pos - 1) // 1000 AS part_no FROM lines) GROUP BY run_id, group_no, part_no) t ON e.run_id = t.run_id AND e.group_no = t.group_no)""",
+      LEFT JOIN (SELECT run_id, group_no, count(*) AS n FROM lines GROUP BY run_id, group_no) t ON e.run_id = t.run_id AND e.group_no = t.group_no""",
     "report_meta": """SELECT run_id, 'Acme / North' AS client, '2026' AS period, count(*) AS groups, count(*) FILTER (NOT failed) AS enriched, count(*) FILTER (failed) AS failed
       FROM enriched GROUP BY run_id""",
     "narrative_report": """SELECT run_id, group_no, concat_ws(chr(10), '== ' || group_name || ' ==', 'Section: ' || output_section, 'Severity: ' || coalesce(rep.sev, 'None'),

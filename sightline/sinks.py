@@ -8,9 +8,14 @@ from sightline.rules import Rules
 
 
 def write_table(df: DataFrame, path: str, rules: Rules = Rules(), mode: str = "append", fmt: str = "parquet") -> None:
-    """Write a result table under ``client_slug=…/run_id=…``."""
-    tagged = df.withColumn("client_slug", client_slug(F.lit(rules.client_name)))
-    tagged.write.mode(mode).format(fmt).partitionBy("client_slug", "run_id").save(path)
+    """Write a result table under ``client_key=…/run_id=…``.
+
+    The key is the client's slug with a digest of the whole name: slugs are cut and may be equal.
+    """
+    name = F.lit(rules.client_name)
+    digest = F.left(F.sha2(F.coalesce(name, F.lit("")), 256), F.lit(12))
+    tagged = df.withColumns({"client_slug": client_slug(name), "client_key": F.concat_ws("-", client_slug(name), digest)})
+    tagged.write.mode(mode).format(fmt).partitionBy("client_key", "run_id").save(path)
 
 
 def write_report_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
