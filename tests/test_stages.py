@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from sightline.operators import approvals, completion, controls, process, propose, report
 from sightline.plans.catalog import QUERIES, Tables
 from sightline.plans.oracle import oracle_queries
+from sightline.schemas import RESOURCE_COLUMNS
 from sightline.sinks import approvals_json, write_report_csv, write_table, write_text
-from sightline.sources.delimited import read_controls_csv
+from sightline.sources.delimited import read_controls_csv, read_findings_csv
 from sightline.sources.json_files import read_approvals
 from tests.compare import difference, duck
 
@@ -179,6 +180,31 @@ def test_controls_from_csv(spark, tmp_path):
     assert len(rejected) == 1 and "Criticality" in rejected[0].reason
 
 
+def test_csv_records_like_the_reference_reader(spark, tmp_path):
+    """Stray quotes, doubled quotes, line breaks in cells and long cells, over splits of a few bytes."""
+    import csv
+    import random
+
+    rng = random.Random(3)
+    header = ["STATUS", "CHECK_ID", "SEVERITY", "PROVIDER", "RESOURCE_UID", "CHECK_TITLE", "REGION", "SERVICE_NAME", *RESOURCE_COLUMNS[-8:]]
+    stray = ['5" disk', 'a "b" c', "plain", '"in, side"', '"two\nlines"', '"doubled "" quote"', "", 'x""y', '"a"b', '"' + "z" * 200_000 + '"']
+    lines = [",".join(header)]
+    for k in range(300):
+        lines.append(",".join([f"FAIL,c{k},low,aws,r{k}", stray[9] if k in (7, 150) else rng.choice(stray[:9]), "eu", rng.choice(stray[:9]), *[""] * 8]))
+    text = "\n".join(lines) + "\n"
+    (tmp_path / "a.csv").write_text(text)
+    want = {row[1]: (row[5], row[7]) for row in csv.reader(text.splitlines(keepends=True)) if row[1] != "CHECK_ID"} if csv.field_size_limit(10**7) else {}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        scan = read_findings_csv(spark, str(tmp_path))
+        got = {r.raw_check_id: (r.raw_check_title, r.raw_service_name) for r in scan.rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    blank = lambda pair: tuple(v or None for v in pair)
+    assert [r.reason for r in scan.rejected.collect()] == []
+    assert {k: blank(v) for k, v in got.items()} == {k: blank(v) for k, v in want.items()} and len(got) == 300
+
+
 @needs_tables
 def test_long_resource_texts_are_split_not_cut(spark):
     t = Tables(spark, SF)
