@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.textarrays import mix
+from sightline.llm.textarrays import bounded, mix
 
 ORDER = 5
 SLOT_BITS = 20
 #: Bytes of text that are coded at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def codes_of(data: np.ndarray, order: int) -> np.ndarray:
@@ -70,7 +70,7 @@ def count_ngrams(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         pending = 0
-        for batch in batches:
+        for batch in bounded(batches, 1):
             by_label: dict[str, list[bytes]] = {}
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by_label.setdefault(name, []).append(prepare(value))
@@ -79,10 +79,10 @@ def count_ngrams(
                     found = np.unique(code, return_counts=True)
                     held.setdefault(name, []).append(found)
                     pending += len(found[0])
-            if pending > 4_000_000:
+            if pending > 2_000_000:
                 held = {k: [_folded(v)] for k, v in held.items()}
                 pending = sum(len(v[0][0]) for v in held.values())
-                if pending > 2_000_000:
+                if pending > 1_000_000:
                     yield from _rows(held)
                     held, pending = {}, 0
         yield from _rows({k: [_folded(v)] for k, v in held.items()})

@@ -6,10 +6,12 @@ pattern ``[^\\x20\\x09-\\x0D]+``.  All functions work on whole texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -32,6 +34,16 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts in ``column`` have about ``most`` bytes, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero(np.diff(ends // most)) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and text offsets of a string column; a null is an empty text."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
