@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ class Subwords:
         ends = np.cumsum([len(w) + 1 for w in words]).tolist()
         found = self.processor.encode([mapped[a:b] for a, b in zip([0, *ends], ends)], num_threads=1)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return _Ragged(np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum())), sizes)
+        return _Ragged(np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes)
 
     def streams(self, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each text closed by END, and where each text begins."""

@@ -50,7 +50,7 @@ def slow_score(w, classes, ids):
 def test_each_token_is_scored_once(tokens):
     classes, w = random_model(tokens)
     rng = np.random.default_rng(1)
-    sizes = [1, 2, 23, 24, 25, 44, 45, 130, 1]
+    sizes = [1, 2, A.CONTEXT - 1, A.CONTEXT, A.CONTEXT + 1, A.CONTEXT + A.STRIDE, A.CONTEXT + A.STRIDE + 1, 130, 1]
     streams = [[*rng.integers(0, A.END, n - 1).tolist(), A.END] for n in sizes]
     first = np.concatenate([[0], np.cumsum(sizes)])
     data = A.windows(np.concatenate(streams), first)
