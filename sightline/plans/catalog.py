@@ -850,21 +850,18 @@ def csv_scan(t):
 
 @query
 def json_scan(t):
-    """Findings written as JSON arrays of at most 500, in containers, read back by name."""
+    """Findings written as JSON files of at most 2,000, in containers of every kind, read back by name."""
     path = t.scratch("json")
     item = F.to_json(F.struct(*[F.col(c) for c in _export(t).columns]))
     number = F.substring_index("NOTES", "#", -1).cast("long")
-    packed = _export(t).select(F.floor(number / 500).alias("part"), item.alias("item")).groupBy("part").agg(
-        F.concat(F.lit('{"findings": ['), F.array_join(F.collect_list("item"), ","), F.lit("]}")).alias("value")
+    listed = F.concat(F.lit("["), F.array_join(F.collect_list("item"), ",\n"), F.lit("]"))
+    packed = _export(t).select(F.floor(number / 2000).alias("part"), item.alias("item")).groupBy("part").agg(listed.alias("list"))
+    held = (
+        F.when(F.col("part") % 3 == 0, F.col("list")).when(F.col("part") % 3 == 1, F.concat(F.lit(' {"findings": '), "list", F.lit("}")))
+        .otherwise(F.concat(F.lit('{"count": 1, "data": '), "list", F.lit("} \n")))
     )
-    packed.select("value").write.option("lineSep", "\u0001").text(path)
-    lines = t.spark.read.option("lineSep", "\u0001").text(path)
-    items = lines.select(F.explode(json_files.unwrap_container(F.col("value"))).alias("item"))
-    cells = items.withColumn("m", F.from_json("item", "map<string,string>"))
-    from sightline.sources.files import canonical_name, raw_cells
-
-    named = cells.select(F.map_values("m").alias("v"), F.transform(F.map_keys("m"), canonical_name).alias("n"))
-    return _scanned(named.select(*[c.alias(k) for k, c in raw_cells(F.col("v"), F.col("n")).items()]))
+    packed.select("part", held.alias("value")).write.partitionBy("part").text(path)  # one file for each part
+    return _scanned(json_files.read_findings_json(t.spark, path, glob="*.txt").rows)
 
 
 @query
