@@ -985,4 +985,4 @@ def control_report(t):
     """Control report with narratives of the offline completion function."""
     context = enrich.control_context(t.merged_controls(), t.control_groups())
     done = materialise(enrich.enrich_groups(context, offline.describe, MODEL, RULES, control=True), "control-enriched")
-    return report.control_report_rows(done).drop("section_order")
+    return report.control_report_rows(done)

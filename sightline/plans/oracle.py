@@ -264,6 +264,7 @@ CTES = {
       row_number() OVER (PARTITION BY run_id, output_section ORDER BY {_CRANK.format("severity")}, group_name, group_no) AS ref_number FROM (
       SELECT *, n % 7 = 0 AS failed, CASE WHEN n % 7 = 0 THEN 'Moderate' ELSE ['Minor', 'Moderate', 'Major'][(n % 3 + 1)::INT] END AS cr FROM (
         SELECT *, rep.check_id AS rc, length(rep.check_id) AS n FROM cmerged))""",
+    "placed": "SELECT section, row_number() OVER () - 1 AS place FROM csections",
     "csections": """SELECT unnest(['Microsoft Entra ID (previously Azure Active Directory)', 'Microsoft 365 Defender', 'Microsoft Exchange Online',
       'Microsoft SharePoint Online', 'Microsoft Teams', 'Microsoft Power Platform', 'Azure Resources']) AS section""",
 }
@@ -540,9 +541,9 @@ SELECTS = {
         CASE WHEN is_duplicate THEN {'stage_no': 2, 'seq': 1, 'stage': 'process', 'field': 'report_inclusion', 'old_value': CASE WHEN filter_reason IS NULL THEN 'INCLUDED' ELSE 'EXCLUDED' END,
           'new_value': 'EXCLUDED', 'reason': 'Duplicate of ' || duplicate_of || ' (same dedup_key)'} END
       ] IF x IS NOT NULL]) AS e FROM cproc)""",
-    "control_report": """SELECT run_id, section, 'heading' AS kind, 0::BIGINT AS ref_number, '' AS ref, section AS finding, '' AS risk_rating, '' AS root_cause, '' AS likelihood,
-        '' AS consequence_rating, '' AS access_required, '' AS situation, '' AS consequence, '' AS recommendations FROM (SELECT DISTINCT run_id FROM cenriched), csections
-      UNION ALL SELECT run_id, output_section, 'finding', ref_number, first_ref_prefix || ref_number,
+    "control_report": """SELECT run_id, section, place AS section_order, 'heading' AS kind, 0::BIGINT AS ref_number, '' AS ref, section AS finding, '' AS risk_rating, '' AS root_cause, '' AS likelihood,
+        '' AS consequence_rating, '' AS access_required, '' AS situation, '' AS consequence, '' AS recommendations FROM (SELECT DISTINCT run_id FROM cenriched), placed
+      UNION ALL SELECT run_id, output_section, (SELECT place FROM placed WHERE section = output_section), 'finding', ref_number, first_ref_prefix || ref_number,
         CASE WHEN failed THEN '[REQUIRES_HUMAN_INPUT] ' || coalesce(nullif(rep.title, ''), 'Unknown control') ELSE 'Finding ' || rc END,
         CASE WHEN failed THEN 'Medium' ELSE mr END, CASE WHEN failed THEN '[REQUIRES_HUMAN_INPUT: root_cause_narrative]' ELSE 'Cause of ' || rc || '.' END,
         likelihood_rating, cr, CASE WHEN failed THEN '[REQUIRES_HUMAN_INPUT: access_required]' ELSE 'Any user.' END,
