@@ -29,7 +29,9 @@ from sightline.llm.textarrays import Words, hash_words, mix, split_words, window
 
 #: Cells of a sketch row for each byte of text; about four for each word.
 CELLS_PER_BYTE = 0.75
-SHARD_CELLS = 1 << 23
+SHARD_CELLS = 1 << 22
+#: Bytes of text in a bucket; a worker holds about 25 times as much in arrays of one entry for each word.
+BUCKET_BYTES = 4 << 20
 _ROW_SEED = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
 
 _CELLS = "shard long, __bucket int, cells binary"
@@ -81,7 +83,7 @@ def kept_words(words: Words, text: int, keep: np.ndarray) -> bytes:
 
 def remove_repeated_passages(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 13, depth: int = 2,
-    bucket_bytes: int = X.BUCKET_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """Return ``docs`` with repeated words removed, and ``n_words``, ``n_removed`` and ``kept_sha256``.
 
