@@ -49,12 +49,13 @@ def complete_requests(
 ) -> DataFrame:
     """Add ``response`` and ``error`` to requests ``(…, prompt, max_tokens, timeout_seconds)``.
 
+    Requests are written first, so the answers belong to exactly these prompts.
     Equal requests are sent once.  Answers are written before use, so a lost
     executor does not send them again; with ``cache_path`` the good ones are
     kept for later runs.
     """
     spark = requests.sparkSession
-    keyed = with_keys(requests, model)
+    keyed = materialise(with_keys(requests, model), "requests")
     open_requests = keyed.select("request_key", "prompt", "max_tokens", "timeout_seconds")
     stored = _read_cache(spark, cache_path)
     misses = (

@@ -9,6 +9,7 @@ from sightline.operators.grouping import attach_members, merged_instances, secti
 from sightline.operators.numbering import number_rows
 from sightline.rules import CONTROL_SECTIONS, CONTROL_SEVERITY_RANK, Rules, lookup, severity_rank
 from sightline.schemas import RAW_FIELDS
+from sightline.session import materialise
 
 REPORT_COLUMNS = [
     "ref", "finding", "risk_rating", "root_cause", "likelihood", "consequence_rating",
@@ -42,6 +43,7 @@ def resource_lines(members: DataFrame, groups: DataFrame, findings: DataFrame) -
     once = per_group.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(
         "run_id", "group_no", "line", "member_pos", "row_seq"
     )
+    once = materialise(once, "resource-lines")  # numbering reads its rows twice
     return number_rows(once, ["run_id", "group_no"], ["member_pos", "row_seq"]).select(
         "run_id", "group_no", "pos", "line"
     )
