@@ -21,7 +21,6 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm import exchange as X
