@@ -17,7 +17,7 @@ VOCABULARY = CLASSES * MEMBERS
 END = VOCABULARY - 1
 WIDTH = 24
 #: Tokens of a window, and how far windows are apart; a token is scored in the first window that holds it.
-CONTEXT, STRIDE = 16, 14
+CONTEXT, STRIDE = 24, 20
 BATCH = 512
 #: Logits stop here, so that single precision holds their exponentials; no trained model comes near it.
 LIMIT = np.float32(60)
@@ -189,6 +189,18 @@ def train(w: Weights, class_of: np.ndarray, data: Windows, steps: int, size: int
     return w
 
 
+def train_stream(
+    w: Weights, class_of: np.ndarray, ids: np.ndarray, first: np.ndarray, size: int = 64, rate: float = 0.004, piece: int = 1 << 20,
+) -> Weights:
+    """One pass of Adam over every window of the texts, ``piece`` ids at a time; a text across pieces is read as two."""
+    for lo in range(0, len(ids), piece):
+        hi = min(lo + piece, len(ids))
+        inner = first[(first > lo) & (first < hi)]
+        data = windows(ids[lo:hi], np.concatenate([[lo], inner, [hi]]) - lo)
+        w = train(w, class_of, data, -(-len(data) // size), size, rate)
+    return w
+
+
 def score(w: Weights, class_of: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural log-probability of each text, its end included."""
     total = np.zeros(len(first) - 1)

@@ -5,8 +5,9 @@ documents sends its distinct words' hashes with counts to shards and gets the co
 costs a few bytes per bucket and no vocabulary is ever in one place.
 
 The attention model reads subword ids: a truncated public byte-level vocabulary, whose merges are a valid
-vocabulary of their own.  Its weights are fitted by gradient steps on a uniform sample of the training
-documents of about ``sample_bytes`` bytes; everything else covers all documents.
+vocabulary of their own.  Its weights start from gradient steps on a uniform sample of the training documents
+of about ``sample_bytes`` bytes.  From there every bucket learns from all its training documents, and the mean
+of the buckets' weights, each counted by its subwords, is the model: its work follows the corpus.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _COUNTS = "shard long, __bucket int, hashes binary, counts binary"
+_LEARNED = "part int, __bucket int, subwords double, weights binary"
+#: Groups in which the buckets' weights are added up, so that the driver gets so many sums at most.
+PARTS = 32
 _TOTALS = "shard long, __bucket int, counts binary, types long, tokens long"
 
 
@@ -111,6 +115,37 @@ def fit_model(training: DataFrame, tokens: list[bytes], total_bytes: int, sample
     return A.initial(class_of_subwords(tokens), np.zeros(A.VOCABULARY))
 
 
+def learn_from_all(dealt: DataFrame, tokens: list[bytes], start: A.Weights) -> A.Weights:
+    """The mean of the weights that the buckets of ``dealt`` reach from ``start``, each by a pass over its training texts."""
+    shared = dealt.sparkSession.sparkContext.broadcast((tokens[: A.END], start))
+
+    def learn(table: pa.Table) -> pa.Table:
+        vocabulary, w = shared.value
+        ordered = table.sort_by([("id", "ascending"), ("text", "ascending")])
+        ids, first = Subwords(vocabulary).streams(Lexicon(ordered["text"]))
+        w = A.train_stream(w, class_of_subwords(vocabulary), ids, first)
+        bucket = table[X.BUCKET][0].as_py()
+        blob = pickle.dumps({k: v.astype(np.float64) * len(ids) for k, v in w.items()})
+        return pa.table([pa.array([x], t) for x, t in ((bucket % PARTS, pa.int32()), (bucket, pa.int32()), (float(len(ids)), pa.float64()), (blob, pa.binary()))], names=["part", X.BUCKET, "subwords", "weights"])
+
+    def add_up(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in tables:
+            for part, _, n, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                held, w = sums.get(part), pickle.loads(blob)
+                sums[part] = [n, w] if held is None else [held[0] + n, {k: held[1][k] + v for k, v in w.items()}]
+        for part, (n, w) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.float64()), pa.array([pickle.dumps(w)], pa.binary())], names=["part", X.BUCKET, "subwords", "weights"])
+
+    learned = dealt.where("train").groupBy(X.BUCKET).applyInArrow(learn, _LEARNED)
+    parts = learned.repartition(PARTS, "part").sortWithinPartitions("part", X.BUCKET).mapInArrow(add_up, _LEARNED).collect()
+    total = sum(r.subwords for r in parts)
+    if not total:
+        return start
+    sums = [pickle.loads(r.weights) for r in sorted(parts, key=lambda r: r.part)]
+    return {k: (sum(w[k] for w in sums) / total).astype(np.float32) for k in start}
+
+
 def score_documents(
     docs: DataFrame, is_training: Column, tokens: list[bytes], id_column: str = "doc_id", text_column: str = "text",
     sample_bytes: int = SAMPLE_BYTES, steps: int = STEPS, bucket_bytes: int = X.BUCKET_BYTES,
@@ -120,7 +155,7 @@ def score_documents(
     Tokens are ASCII-lowered words and one end.  ``base_score`` is the sum of log10((c + 0.5) / (N + 0.5 (V + 1)))
     with the counts of the training rows; ``score`` the model's log10 probability of the words with single
     spaces, and the end.  Null texts are empty.  Rows for which ``is_training`` is null are held out.
-    Repeated rows count repeatedly; other columns are ignored.
+    Repeated rows count repeatedly; other columns are ignored.  Without ``steps`` the model stays untrained.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.coalesce(is_training, F.lit(False)).alias("train"))
     dealt, total = X.deal(rows, "id", "text", bucket_bytes)
@@ -156,6 +191,8 @@ def score_documents(
     train_tokens = (words or 0) + ends
     base = train_tokens + 0.5 * ((types or 0) + (ends > 0) + 1)
     weights = fit_model(rows.where("train"), tokens, total, sample_bytes, steps)
+    if steps:
+        weights = learn_from_all(dealt, tokens, weights)
     model = docs.sparkSession.sparkContext.broadcast((tokens[: A.END], weights))
     kind = docs.schema[id_column].dataType.simpleString()
     arrow_ids = f"`{id_column}` {kind}"

@@ -107,3 +107,11 @@ def test_model_learns(spark, tokens):
 
 def test_empty_table(spark, tokens):
     assert L.score_documents(spark.createDataFrame([], SCHEMA), F.col("train"), tokens, steps=2).collect() == []
+
+
+def test_score_learns_from_documents_outside_the_sample(spark, tokens):
+    """With a sample of no document, what the model knows comes from the pass over all of them."""
+    rows = [(k, "the cat sat on the mat and the dog lay by the door " * 20, None, k % 5 != 1) for k in range(1000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {steps: L.score_documents(docs, F.col("train"), tokens, sample_bytes=0, steps=steps, bucket_bytes=400_000).where("held_out").agg(F.sum("score")).first()[0] for steps in (0, 1)}
+    assert got[1] > 0.5 * got[0]
