@@ -39,7 +39,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = materialise(contaminated(docs, benchmark).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
+    found = materialise(contaminated(docs, benchmark, partial_copies=True).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
     return docs.join(found, docs["doc_id"].eqNullSafe(found["leak"]), "left_anti")
 
 

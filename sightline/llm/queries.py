@@ -42,7 +42,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), partial_copies=True)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,17 @@ def test_exact_passages_like_brute_force(spark):
 def test_empty_tables(spark):
     assert found(spark, [], [(1, QUESTION)]) == {}
     assert found(spark, [(1, QUESTION)], []) == {}
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_windows": 0}])
+def test_copied_windows_count_whatever_their_values(spark, options):
+    """One of two equal values changed, hardly any literal, and a first word after other punctuation than in the item."""
+    table = "Mon 12 kg 13 kg Tue 14 kg 15 kg Wed 16 kg 17 kg"
+    short = "Peter asked where the river ends"
+    docs = [(1, QUESTION.replace("12", "30", 1)), (2, f"as follows, {table} and more"), (3, f"once, {short}"), (4, table.replace("16", "99")), (5, "clean text")]
+    got = found(spark, docs, [(100, QUESTION), (101, table), (102, short)], partial_copies=True, **options)
+    assert set(got) == {(1, 100), (2, 101), (3, 102)}
+    tokens = QUESTION.replace(",", "").split()
+    changed = tokens.index("12")
+    copied = sum(not k <= changed < k + 13 for k in range(len(tokens) - 12))
+    assert got[1, 100].n_windows == got[1, 100].n_exact == copied > 0 and not got[1, 100].reparameterised
