@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.llm import bpe
 from sightline.llm.chat_format import digest_conversations, format_conversations
 from sightline.llm.decontaminate import contaminated
+from sightline.llm.fill_middle import fill_in_middle
 from sightline.llm.html_text import extract
 from sightline.llm.langid import identify
 from sightline.llm.lm_scoring import score_documents
@@ -91,6 +92,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return fill_in_middle(docs, keep_output=False).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
@@ -102,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_middle": op11_fill_middle,
 }
