@@ -17,9 +17,12 @@ from sightline.llm.lm_scoring import score_documents
 from sightline.llm.quality import judge
 from sightline.llm.simhash import near_duplicate_groups
 from sightline.llm.substring_dedup import remove_repeated_passages
+from sightline.llm.token_alignment import align_tokenizers
 from sightline.llm.url_filter import judge_urls
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+BYTE_LEVEL = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +102,16 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    path_a, path_b = public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES)
+    return align_tokenizers(docs, path_a, path_b, keep_groups=False).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
@@ -111,4 +124,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_middle": op11_fill_middle,
+    "op13_token_alignment": op13_token_alignment,
 }
