@@ -19,6 +19,7 @@ from sightline.llm.simhash import near_duplicate_groups
 from sightline.llm.substring_dedup import remove_repeated_passages
 from sightline.llm.token_alignment import align_tokenizers
 from sightline.llm.url_filter import judge_urls
+from sightline.llm.vector_dedup import near_duplicate_vectors
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 BYTE_LEVEL = "byte_bpe_50k.json"
@@ -102,6 +103,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -124,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_middle": op11_fill_middle,
+    "op12_vector_dedup": op12_vector_dedup,
     "op13_token_alignment": op13_token_alignment,
 }
