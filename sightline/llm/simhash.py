@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.llm.components import connected_components
+from sightline.llm.salting import join_to_rows
 from sightline.llm.textarrays import bounded
 from sightline.session import materialise
 
@@ -52,16 +53,20 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return sum(1 << b for b in np.flatnonzero(2 * ones > len(hashes)).tolist())
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp) of every row; ``fp`` is the fingerprint as a signed 64-bit number."""
+def fingerprints(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """(id, fp) of every row, and its ``carry`` columns; ``fp`` is the fingerprint as a signed 64-bit number."""
+    kept = docs.select(id_column, *carry)
+    schema = T.StructType([*kept.schema.fields, T.StructField("fp", T.LongType())])
+    at = len(kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, 1):
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_column, "fp"])
+        for batch in bounded(batches, at):
+            found = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found.view(np.int64))], names=schema.names)
 
-    schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(id_column, text_column).mapInArrow(run, schema)
+    return docs.select(id_column, *carry, text_column).mapInArrow(run, schema)
 
 
 def block_count(fingerprint_count: int, max_bits: int) -> int:
@@ -151,6 +156,19 @@ def links(fps: DataFrame, fingerprint_count: int, max_bits: int = 4, tile: int =
     return grouped.mapInArrow(compare, "a long, b long").distinct()
 
 
+def classes(prints: DataFrame, id_column: str, max_bits: int = 4) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint: the least fingerprint of its class, and the least id."""
+    distinct = materialise(prints.groupBy("fp").agg(F.min(id_column).alias("least")), "fingerprint_classes")
+    found = materialise(links(distinct.select("fp"), distinct.count(), max_bits), "fingerprint_links")
+    roots = connected_components(found)
+    linked = distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    renamed = linked.join(named, "root").select("fp", "root", "component_id")
+    # few fingerprints are linked to others; the class of the rest is named by their own rows
+    every = distinct.join(renamed, "fp", "left")
+    return every.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def near_duplicate_groups(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, max_bits: int = 4,
 ) -> DataFrame:
@@ -162,15 +180,8 @@ def near_duplicate_groups(
     class are null.  Rows may repeat.  Other columns are ignored.
     """
     prints = materialise(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
-    classes = materialise(prints.groupBy("fp").agg(F.min(id_column).alias("least")), "fingerprint_classes")
-    found = materialise(links(classes.select("fp"), classes.count(), max_bits), "fingerprint_links")
-    roots = connected_components(found)
-    linked = classes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    renamed = linked.join(named, "root").select("fp", "component_id")
-    # few fingerprints are linked to others; the class of the rest is named by their own rows
-    by_print = classes.join(renamed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(by_print, "fp").select(
+    by_print = materialise(classes(prints, id_column, max_bits).select("fp", "component_id"), "fingerprint_names")
+    return join_to_rows(prints, by_print, ["fp"], id_column).select(
         id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -178,18 +189,27 @@ def near_duplicate_groups(
 def drop_near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, max_bits: int = 4,
 ) -> DataFrame:
-    """The rows whose id names their class: one document of each group, with all its columns.
+    """One row of each class of near copies, with all its columns: the one with the smallest id, null last.
 
-    Where rows repeat that id, or all ids of a class are null, one of these rows is kept.
+    A row is known by 128 bits of hash over all its columns, not by its id: unlike texts without id, or with one
+    id, are all kept.  Among rows of a class with the same id the one with the least hash stays; rows that
+    repeat in every column are one.
     """
-    groups = near_duplicate_groups(docs, id_column, text_column, shingle, max_bits)
-    named = groups.where(F.col(id_column).eqNullSafe(F.col("component_id")))
-    kept = materialise(named.groupBy(F.col(id_column).alias("__kept")).agg(F.count("*").alias("__rows")), "kept_ids")
+    columns = [F.col(c) for c in docs.columns]
+    keyed = docs.withColumn("__k1", F.xxhash64(*columns)).withColumn("__k2", F.xxhash64(F.lit("second"), *columns))
+    prints = materialise(fingerprints(keyed, id_column, text_column, shingle, carry=("__k1", "__k2")), "fingerprints")
+    roots = materialise(classes(prints, id_column, max_bits).select("fp", "root"), "fingerprint_roots")
+    placed = join_to_rows(prints, roots, ["fp"], "__k1")
+    first = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), F.col("__k1"), F.col("__k2"))
+    chosen = placed.groupBy("root").agg(F.min(first).alias("row")).select("row.__k1", "row.__k2")
+    copies = prints.groupBy("__k1", "__k2").agg(F.count("*").alias("__rows"))
+    kept = materialise(chosen.join(copies, ["__k1", "__k2"]), "kept_rows")
 
     def rows(which: DataFrame) -> DataFrame:
-        return docs.join(which.select("__kept"), F.col(id_column).eqNullSafe(F.col("__kept")), "left_semi")
+        # the same join at every size: texts are shuffled once, to where the keys are
+        return keyed.join(which.select("__k1", "__k2").hint("merge"), ["__k1", "__k2"], "left_semi")
 
     if kept.where("__rows > 1").isEmpty():
-        return rows(kept)
-    once = rows(kept.where("__rows > 1")).dropDuplicates([id_column])
-    return rows(kept.where("__rows = 1")).unionByName(once)
+        return rows(kept).select(docs.columns)
+    once = rows(kept.where("__rows > 1")).dropDuplicates(["__k1", "__k2"])
+    return rows(kept.where("__rows = 1")).unionByName(once).select(docs.columns)

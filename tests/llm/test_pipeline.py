@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of its stages."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import tiktoken
@@ -59,3 +60,19 @@ def test_empty_and_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         docs.collect()
+
+
+def test_documents_without_own_id(spark):
+    """Unlike documents without id, or with one shared id, all stay; a leak takes no other document along."""
+    rng = random.Random(8)
+    words = "river stone garden letter window market quiet silver morning paper bridge winter candle forest yellow".split()
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    for ids in (range(40), [None] * 40, [7] * 40):
+        rows = [(i, " ".join(rng.choice(words) + str(k) for _ in range(80)), "en", "s", 1) for k, i in enumerate(ids)]
+        docs = spark.createDataFrame(rows, schema)
+        assert sorted(r.text for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()) == sorted(r[1] for r in rows)
+        copies = docs.union(docs).union(spark.createDataFrame([(None, rows[0][1], "en", "s", 1)], schema))
+        assert sorted(r.text for r in corpus_pipeline.simhash_dedup(spark, copies, SF).collect()) == sorted(r[1] for r in rows)
+        leaking = docs.union(spark.createDataFrame([(ids[0], f"{rows[3][1]} {item}", "en", "s", 1)], schema))
+        assert sorted(r.text for r in corpus_pipeline.decontamination(spark, leaking, SF).collect()) == sorted(r[1] for r in rows)
