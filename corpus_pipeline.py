@@ -37,10 +37,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Whether one does depends on its text alone, so texts are known by 128 bits of hash and ids play no part.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = materialise(contaminated(docs, benchmark, partial_copies=True).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["leak"]), "left_anti")
+    keyed = docs.withColumn("__t1", F.xxhash64("text")).withColumn("__t2", F.xxhash64(F.lit("second"), "text"))
+    texts = keyed.select(F.struct("__t1", "__t2").alias("doc_id"), "text")
+    leaks = contaminated(texts, benchmark, partial_copies=True).select("doc_id.__t1", "doc_id.__t2").distinct()
+    found = materialise(leaks, "leaks")
+    return keyed.join(found, ["__t1", "__t2"], "left_anti").select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
