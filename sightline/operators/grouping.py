@@ -148,7 +148,8 @@ def merge_groups(
     ``members`` holds ``run_id, group_no, group_name, rationale, pos,
     member_key``.  Severity and likelihood are the highest of the members, the
     section is the first member's, and the representative is the most complete
-    one (then the most severe, then the first).
+    one (then the most severe, then the first).  An ``analyst_note`` of the
+    members' group is carried along.
     """
     attached = attach_members(members, groups)
     value = F.lower(text_or(F.col(severity), missing_severity))
@@ -170,6 +171,7 @@ def merge_groups(
             F.transform(
                 F.array_sort(F.collect_list(F.struct(pos.alias("p"), F.col("member_key").alias("k")))), lambda s: s["k"]
             ).alias("check_ids"),
+            *[F.max(c).alias(c) for c in members.columns if c == "analyst_note"],
         )
         .withColumn("is_merged", F.col("member_count") > 1)
     )

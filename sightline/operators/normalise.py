@@ -1,6 +1,6 @@
 """Raw finding rows to normalised findings: projections only, no shuffle."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import findings as fn
@@ -78,15 +78,15 @@ def normalise_findings(raw: DataFrame) -> DataFrame:
     )
 
 
-def ingest_warnings(findings: DataFrame) -> DataFrame:
-    """One row per warning of a normalised finding; a single pass over the findings."""
+def warning_list() -> Column:
+    """The warnings of a normalised finding, as structs of code and message."""
     row = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     shown = lambda c: F.coalesce(F.col(c), F.lit("None"))
     number = F.col("row_no").cast("string")
     warn = lambda test, code, message: F.when(
         test, F.struct(F.lit(code).alias("code"), message.alias("message"))
     )
-    found = F.array_compact(F.array(
+    return F.array_compact(F.array(
         warn(
             F.col("muted_reconciled"), "MUTED_STATUS_RECONCILED",
             row("MUTED=True overrides STATUS='", shown("raw_status"), "': now '", F.col("scanner_status"), "'"),
@@ -108,9 +108,13 @@ def ingest_warnings(findings: DataFrame) -> DataFrame:
             row("Row ", number, ": no CHECK_ID, grouped as 'unknown'"),
         ),
     ))
+
+
+def ingest_warnings(findings: DataFrame) -> DataFrame:
+    """One row per warning of a normalised finding; a single pass over the findings."""
     return findings.select(
         "run_id", F.lit(_STAGE).alias("stage"), "row_no", F.col("raw_check_id").alias("check_id"),
-        F.col("finding_instance_id").alias("finding_id"), F.explode(found).alias("w"),
+        F.col("finding_instance_id").alias("finding_id"), F.explode(warning_list()).alias("w"),
     ).select("run_id", "stage", "w.code", "w.message", "row_no", "check_id", "finding_id")
 
 

@@ -14,13 +14,16 @@ from sightline.operators import (
     completion,
     controls,
     enrich,
+    exports,
     grouping,
     metrics,
     normalise,
     process,
     propose,
     report,
+    summaries,
 )
+from sightline import sinks
 from sightline.plans import fixtures, offline
 from sightline.rules import Rules, risk_rating
 from sightline.schemas import NESTED_FINDING, RESOURCE_COLUMNS, raw_name
@@ -986,3 +989,134 @@ def control_report(t):
     context = enrich.control_context(t.merged_controls(), t.control_groups())
     done = materialise(enrich.enrich_groups(context, offline.describe, MODEL, RULES, control=True), "control-enriched")
     return report.control_report_rows(done)
+
+
+# --- outputs of whole runs -----------------------------------------------------------------------------------------------
+
+
+@query
+def ingest_report(t):
+    return summaries.ingest_report(t.findings())
+
+
+@query
+def process_report(t):
+    return summaries.process_report(t.processed(), t.groups())
+
+
+@query
+def audit_trail(t):
+    """Events of all steps in one table, in the order of each finding's history; two steps are written twice."""
+    path = t.scratch("audit")
+    rows = process.assign_section(t.processed())
+    note = F.when(F.col("group_no") % 5 == 0, F.concat(F.lit("Ask the owner of "), "group_name")).otherwise("")
+    noted = grouping.merge_groups(t.approved().withColumn("analyst_note", note), t.groups())
+    runs = t.groups().select("run_id")
+    sinks.write_events(audit.finding_audit(rows), path, "findings")
+    sinks.write_events(audit.group_audit(t.groups()), path, "groups", runs)
+    sinks.write_events(enrich.enrich_audit(t.enriched(), "an earlier model"), path, "enrichment", runs)
+    for _ in range(2):
+        sinks.write_events(grouping.merge_audit(noted, t.groups(), t.approved(), approved=True), path, "review", runs)
+    sinks.write_events(grouping.merge_audit(t.merged(), t.groups(), t.members()), path, "grouping", runs)
+    sinks.write_events(enrich.enrich_audit(t.enriched(), MODEL), path, "enrichment", runs)
+    return sinks.read_events(t.spark, path)
+
+
+@query
+def control_run_summary(t):
+    """Counters of every stage of control runs, and their observed totals as rows without run."""
+    log = summaries.StageLog()
+    one = F.count(F.lit(1))
+    processed = log.write(
+        t.processed_controls(), "process", findings=one, included=F.count_if(F.expr("was_included AND NOT is_duplicate")),
+        excluded=F.count_if(F.expr("NOT was_included")), duplicates=F.count_if(F.expr("was_included AND is_duplicate")),
+    )
+    groups = log.write(controls.control_groups(processed), "groups", groups=one)
+    t._kept["control_groups"] = groups
+    merged = log.write(t.merged_controls(), "grouping", groups_proposed=one, merges_applied=F.count_if(F.expr("is_merged")))
+    chunks = grouping.assign_chunks(groups, grouping.control_chunk_order() + [F.col("tenant_id")])
+    done = log.write(
+        enrich.enrich_groups(enrich.control_context(merged, groups), offline.describe, MODEL, RULES, control=True), "enrich",
+        enriched=F.count_if(F.expr("NOT enrichment_failed")), failed=F.count_if(F.expr("enrichment_failed")),
+    )
+    rows = log.write(report.control_report_rows(done), "render", groups_written=F.count_if(F.expr("kind = 'finding'")))
+    members = t.control_members()
+    faults = grouping.partition_check(groups, members, ["run_id"])
+    per_run = summaries.control_run_summary(processed, groups, chunks, merged, faults, members, done, rows)
+    return per_run.unionByName(log.rows(per_run))
+
+
+@query
+def enriched_groups(t):
+    """Enriched groups with pages of 50 resources and accounts."""
+    detail = report.resource_detail(t.approved(), t.groups(), t.working())
+    pages = exports.group_pages(detail, t.accounts(), 50)
+    found = exports.enriched_groups(t.enriched(), report.recommendation_text(t.approved(), t.groups()), pages)
+    shown = F.transform("affected_resources", lambda r: F.concat_ws("|", *[r[c] for c in exports._DETAIL]))
+    return found.select(
+        "run_id", "group_no", "page_no", "pages", "group_name", F.array_join("check_ids", ",").alias("check_ids"), "output_section",
+        "instance_count", "likelihood_rating", "risk_rating", "consequence_rating", "finding_title", "root_cause_narrative",
+        "situation_narrative", "consequence_narrative", "access_required", "recommendations", "ai_enriched", "llm_failed",
+        "human_review_required", F.size("affected_resources").alias("resources"),
+        F.md5(F.array_join(shown, "\n").cast("binary")).alias("resources_md5"), F.array_join("affected_accounts", ";").alias("accounts"),
+    )
+
+
+def _proposal(t, members: DataFrame) -> DataFrame:
+    merged = grouping.merge_groups(members, t.groups())
+    accounts = grouping.merged_accounts(members, t.groups(), process.group_accounts(t.working()))
+    return exports.grouping_proposal(members, t.groups(), merged, accounts, t.chunked())
+
+
+@query
+def grouping_proposal(t):
+    """Proposals of all runs, then new ones for two runs, by the first word of the check ids; the last one of each run."""
+    from pyspark.sql import Window
+
+    path = t.scratch("proposals")
+    sinks.append_version(_proposal(t, t.members()), path)
+    word = F.substring_index("member_key", "_", 1)
+    by_name = Window.partitionBy("run_id").orderBy("group_name")
+    inside = Window.partitionBy("run_id", "group_name").orderBy("member_key")
+    again = t.groups().filter("run_id IN ('ASIA', 'EUROPE')").select("run_id", word.alias("group_name"), "member_key").select(
+        "run_id", F.dense_rank().over(by_name).alias("group_no"), "group_name", F.lit("Same word").alias("rationale"),
+        F.row_number().over(inside).alias("pos"), "member_key",
+    )
+    rows = _proposal(t, again)
+    sinks.append_version(rows, path)
+    last = sinks.latest_version(t.spark, path, rows.schema)
+    return last.withColumns({
+        "check_ids": F.array_join("check_ids", ","), "affected_resources": F.md5(F.array_join("affected_resources", "\n").cast("binary")),
+    })
+
+
+@query
+def approval_versions(t):
+    """Approvals of all runs, a second version for two of them by a second writer; the last one of each run, as members."""
+    path = t.scratch("approvals")
+    first = sinks.approvals_json(t.approved())
+    sinks.append_version(first, path)
+    second = t.approved().filter("run_id IN ('AMERICA', 'ASIA') AND group_no % 2 = 1").withColumn("rationale", F.lit("second thoughts"))
+    sinks.append_version(sinks.approvals_json(second), path)
+    last = sinks.latest_version(t.spark, path, first.schema)
+    return json_files.approved_members(last).select(
+        "run_id", "version", "group_no", "group_name", "rationale", "risk_rating_override", "pos", "member_key"
+    )
+
+
+@query
+def review_cards(t):
+    """Cards of the review board with their checks and resources."""
+    accounts = grouping.merged_accounts(t.members(), t.groups(), process.group_accounts(t.working()))
+    shown = F.transform("affected_resources", lambda r: F.concat_ws("|", *[r[c] for c in (
+        "resource", "resource_name", "resource_type", "account_name", "account_uid", "region", "check_id")]))
+    return exports.review_board(t.members(), t.groups(), t.merged(), accounts).select(
+        "run_id", "id", "group_name", "rationale", "is_merged", "instance_count", "severity", "likelihood", "accounts",
+        F.array_join("checks", ",").alias("checks"), F.md5(F.array_join(F.coalesce(shown, F.array().cast("array<string>")), "\n").cast("binary")).alias("resources_md5"),
+    )
+
+
+@query
+def review_lookup(t):
+    """Facts of the members of a board, taken from the map of checks of their run."""
+    return exports.member_facts(t.members(), exports.check_lookup(t.groups())).withColumn("categories", F.array_join("categories", ";"))

@@ -159,6 +159,9 @@ CTES = {
         chr(10) || chr(10) ORDER BY member_pos)
       ELSE max(concat_ws(chr(10), raw_remediation_recommendation_text, 'CLI: ' || raw_remediation_code_cli, 'Terraform: ' || raw_remediation_code_terraform)) END AS recommendations
       FROM att GROUP BY run_id, group_no""",
+    "rdetail": """SELECT t.run_id, t.group_no, row_number() OVER (PARTITION BY t.run_id, t.group_no ORDER BY t.member_pos, w.row_seq) AS pos,
+      concat_ws('|', w.resource_uid_normalised, coalesce(w.raw_resource_name, ''), w.raw_account_uid, w.raw_account_name, w.region_normalised, w.raw_resource_type, coalesce(w.raw_status_extended, '')) AS line
+      FROM work w JOIN att t ON t.run_id = w.run_id AND t.check_id = w.check_id AND t.output_section = w.output_section""",
     "board": """SELECT m.*, 'g' || m.group_no AS group_id, g.group_order, g.raw_check_title FROM members m JOIN grp g ON m.run_id = g.run_id AND m.member_key = g.member_key""",
     "boxes": "SELECT DISTINCT run_id, group_no, group_id, group_name, rationale FROM board",
     "mv": """SELECT * FROM (SELECT run_id, member_key, group_order AS seq, 'g1' AS target FROM board WHERE group_order % 5 = 0
@@ -554,4 +557,6 @@ SELECTS = {
 
 
 def oracle_queries() -> dict[str, str]:
-    return {name: with_ctes(sql) for name, sql in SELECTS.items()}
+    from sightline.plans.oracle_outputs import OUTPUTS
+
+    return {name: with_ctes(sql) for name, sql in (SELECTS | OUTPUTS).items()}

@@ -28,6 +28,17 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/sightline/{label}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the store it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -36,6 +47,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     broadcast and a large one shuffled, by Spark's own threshold.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark).rstrip('/')}/sightline/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_bucketed(df: DataFrame, label: str, keys: list[str], buckets: int) -> DataFrame:
+    """Write ``df`` once, bucketed and sorted by ``keys``, and read it back.
+
+    Two tables written with the same keys and number of buckets are joined on
+    the keys without a shuffle.  The files lie in the shared folder; the
+    session's catalog knows them under a name of their own.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    dealt = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    dealt.option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)

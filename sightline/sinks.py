@@ -1,10 +1,15 @@
 """Writing results: partitioned by client and run so that one run is read alone."""
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.functions.text import client_slug
 from sightline.rules import Rules
+from sightline.schemas import AUDIT
+from sightline.session import path_exists
 
 
 def write_table(df: DataFrame, path: str, rules: Rules = Rules(), mode: str = "append", fmt: str = "parquet") -> None:
@@ -49,3 +54,70 @@ def approvals_json(members: DataFrame) -> DataFrame:
     return group.groupBy("run_id").agg(F.array_sort(F.collect_list(payload)).alias("groups")).select(
         "run_id", F.to_json(F.struct("run_id", "groups")).alias("payload")
     )
+
+
+# --- audit events of all stages -----------------------------------------------------------------
+
+#: Steps that write audit events, in the order in which they happen to a finding.
+STEPS = ("findings", "groups", "grouping", "review", "enrichment")
+
+
+def write_events(events: DataFrame, path: str, step: str, runs: DataFrame | None = None) -> None:
+    """Write the audit events of one step; a step that is run again replaces what it wrote.
+
+    Events lie in a partition for each run and step.  A write replaces the
+    partitions of its own runs and step and touches no other, so it may be
+    repeated after a failure.  ``runs`` (``run_id``) are the runs the step has
+    processed: a run without events then replaces its partition by an empty
+    marker row, which :func:`read_events` leaves out.
+    """
+    if step not in STEPS:
+        raise ValueError(f"step must be one of {STEPS}")
+    rows = events.select(*AUDIT.names)
+    if runs is not None:
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in AUDIT.fields if f.name != "run_id"]
+        rows = rows.unionByName(runs.select("run_id").distinct().select("run_id", *blank))
+    rows.withColumn("step", F.lit(step)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "run_id", "step"
+    ).parquet(path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """All events, with the place of each in the history of its finding (``event_no``, from 1)."""
+    schema = T.StructType([*(f for f in AUDIT.fields if f.name != "run_id"), AUDIT["run_id"], T.StructField("step", T.StringType())])
+    found = spark.read.schema(schema).parquet(path).filter("finding_instance_id IS NOT NULL")
+    step_no = F.array_position(F.array(*[F.lit(s) for s in STEPS]), F.col("step"))
+    history = Window.partitionBy("run_id", "finding_instance_id").orderBy("stage_no", step_no, "seq")
+    return found.select(*AUDIT.names, "step", F.row_number().over(history).alias("event_no"))
+
+
+# --- versioned tables -----------------------------------------------------------------------------
+
+
+def append_version(rows: DataFrame, path: str) -> None:
+    """Append a new version of each run in ``rows``; earlier versions stay.
+
+    Each write has a folder of its own, so two writers never touch the same
+    files.  A run's version is one more than the last one that the writer
+    saw; if two writers take the same number, readers choose between them by
+    the name of the write, all in the same way, and never mix their rows.
+    """
+    spark = rows.sparkSession
+    if path_exists(spark, path):
+        last = _written(spark, path, rows.schema).groupBy("run_id").agg(F.max("version").alias("_last"))
+        rows = rows.join(last, "run_id", "left").withColumn("version", F.coalesce("_last", F.lit(0)) + 1).drop("_last")
+    else:
+        rows = rows.withColumn("version", F.lit(1))
+    rows.withColumn("version", F.col("version").cast("int")).write.parquet(f"{path.rstrip('/')}/write={uuid.uuid4().hex}")
+
+
+def _written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    fields = [*(f for f in schema.fields if f.name not in ("version", "write")), T.StructField("version", T.IntegerType())]
+    return spark.read.schema(T.StructType([*fields, T.StructField("write", T.StringType())])).parquet(path)
+
+
+def latest_version(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of the last version of each run, with ``version``."""
+    found = _written(spark, path, schema)
+    last = found.groupBy("run_id").agg(F.max(F.struct("version", "write")).alias("_last"))
+    return found.join(last, "run_id").filter(F.struct("version", "write") == F.col("_last")).drop("_last", "write")
