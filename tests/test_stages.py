@@ -205,6 +205,27 @@ def test_csv_records_like_the_reference_reader(spark, tmp_path):
     assert {k: blank(v) for k, v in got.items()} == {k: blank(v) for k, v in want.items()} and len(got) == 300
 
 
+@pytest.mark.parametrize("delimiter", [",", ";", "\t", "|"])
+def test_quotes_after_other_delimiters_are_text(spark, tmp_path, delimiter):
+    """Only the file's own delimiter ends a cell: a quote after another one opens nothing."""
+    import csv
+
+    header = delimiter.join(["STATUS", "CHECK_ID", "SEVERITY", "PROVIDER", "RESOURCE_UID", "CHECK_TITLE", "REGION", "SERVICE_NAME", *RESOURCE_COLUMNS[-8:]])
+    cells = [f'a{d}"b' for d in ",;\t|" if d != delimiter] + ["plain", f'"quoted{delimiter} with\n{delimiter}""line"', '"x', 'y" z']
+    rows = [delimiter.join(["FAIL", f"c{k}", "low", "aws", f"r{k}", c, "eu", "svc", *[""] * 8]) for k, c in enumerate(cells[:-2] + cells[-1:])]
+    text = "\n".join([header, "   ", *rows, ""])
+    (tmp_path / "a.csv").write_text(text, encoding="latin-1")
+    (tmp_path / "b.csv").write_text(text.replace("plain", "pläin"), encoding="latin-1")
+    (tmp_path / "poor.csv").write_text(delimiter.join(["STATUS", "CHECK_ID"]) + "\nFAIL" + delimiter + "x\n")
+    scan = read_findings_csv(spark, str(tmp_path))
+    want = [r[5] for r in csv.reader([line for line in text.splitlines(keepends=True) if line.strip()], delimiter=delimiter)][1:]
+    for name, said in (("a.csv", "plain"), ("b.csv", "pläin")):
+        got = {r.raw_check_id: r.raw_check_title for r in scan.rows.filter(F.col("source_file").endswith(name)).collect()}
+        assert [got.get(f"c{k}") for k in range(len(want))] == [w.replace("plain", said).strip() for w in want]
+    assert [(r.source_file[-8:], r.reason[:2]) for r in scan.rejected.collect()] == [("poor.csv", "2 ")]
+    assert {w.code for w in scan.warnings.collect()} == ({"NON_STANDARD_DELIMITER"} if delimiter != "," else set())
+
+
 @needs_tables
 def test_long_resource_texts_are_split_not_cut(spark):
     t = Tables(spark, SF)
