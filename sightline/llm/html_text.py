@@ -1,7 +1,8 @@
 """Main text of web pages: site templates removed by counting element subtrees per host.
 
 1. Every page is parsed; each element outside prose gets a hash of its tag and content.
-2. Spark counts in how many pages of a host each hash occurs.  Subtrees on many pages of their host are template.
+2. Spark counts with how many different main texts of a host each hash occurs, so copies of a page count once.
+   Subtrees that recur with many of them are template.
 3. Every page is parsed again; template subtrees, and elements that are boilerplate by tag, role or class, go.
    What is left of the article (or of ``main``, or of the page) is joined block by block.
 """
@@ -10,7 +11,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from sightline.session import materialise
 
-#: A subtree is template if it is on so many pages of its host, and on this share of them.
+#: A subtree is template if it occurs with so many different main texts of its host, and with this share of them.
 MIN_PAGES = 3
 MIN_SHARE = 0.2
 
@@ -53,7 +53,7 @@ DROP_WORDS = frozenset(
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HOST = re.compile(r"://([^/?#]*)")
 
@@ -63,18 +63,31 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+def attributes_of(source: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        found.setdefault(m[1].lower(), html.unescape((m[2] or "").strip("\"'")))
+    return found
+
+
+def _is_boilerplate(tag: str, source: str, in_article: bool) -> bool:
+    """Whether an element is boilerplate by its tag, role or names.
+
+    Articles, and prose elements inside them, go by a whole class name only: a word inside a name or an id, as in
+    ``post-share-economy``, may be what the text is about.
+    """
     if tag in DROP_TAGS or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("html", "body", "main"):
+    if not source or tag in ("html", "body", "main"):
         return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "role" and value.lower() in DROP_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id") and not DROP_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value)):
-            return True
-    return False
+    attributes = attributes_of(source)
+    if attributes.get("role", "").lower() in DROP_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+        return True
+    classes = attributes.get("class", "")
+    if tag == "article" or (in_article and tag in _PROSE):
+        return not DROP_WORDS.isdisjoint(classes.lower().split())
+    return any(not DROP_WORDS.isdisjoint(w.lower() for w in _WORD.findall(v)) for v in (classes, attributes.get("id", "")))
 
 
 @dataclass
@@ -83,6 +96,7 @@ class _Element:
     start: int  # pieces before it
     drop: bool
     in_article: bool
+    prose: bool = False  # holds text of an article that is in a prose block and in no link
     content: list[str] = field(default_factory=list)
 
 
@@ -97,8 +111,8 @@ class Page:
 def parse(source: str, template: frozenset[int] | set[int] = frozenset()) -> Page:
     """Read a page; subtrees whose hash is in ``template`` and boilerplate elements leave no text.
 
-    Prose elements inside an article are never template, since articles may repeat; nor is an element that
-    holds an article.  Broken markup is read as browsers mostly do: unknown end tags are ignored, open
+    Elements of an article that are prose or hold some are never template, since articles may repeat; nor is an
+    element that holds an article.  Prose is text in a paragraph, heading, list item or cell that is no link.  Broken markup is read as browsers mostly do: unknown end tags are ignored, open
     elements end with their parent.
     """
     pieces: list[str | None] = []  # text, and None where a block begins or ends
@@ -114,9 +128,11 @@ def parse(source: str, template: frozenset[int] | set[int] = frozenset()) -> Pag
         stack[-1].content.append(f"{digest:x}")
         has_main = bool(mains) and mains[-1][0] >= e.start
         drop = e.drop and not (has_main and e.tag not in DROP_TAGS)
-        if not drop and not has_main and content and e.tag not in ("html", "body", "main", "article") and not (e.in_article and e.tag in _PROSE):
+        held = e.in_article and (e.tag in _PROSE or e.prose)
+        if not drop and not has_main and content and e.tag not in ("html", "body", "main", "article") and not held:
             subtrees.add(digest)
             drop = digest in template
+        stack[-1].prose |= e.prose and not drop
         if drop:
             del pieces[e.start :]
             mains = [m for m in mains if m[0] < e.start]
@@ -142,6 +158,10 @@ def parse(source: str, template: frozenset[int] | set[int] = frozenset()) -> Pag
         if text:
             pieces.append(html.unescape(text) if "&" in text else text)
             if text.strip():
+                if stack[-1].in_article and not any(e.tag == "a" for e in stack):
+                    inner = next((e for e in reversed(stack) if e.tag in _BLOCK), None)
+                    if inner is not None and inner.tag in _PROSE:
+                        inner.prose = True
                 stack[-1].content.append(" ".join(text.split()))
 
     at = 0
@@ -199,29 +219,28 @@ def _join(pieces: list[str | None], mains: list[tuple[int, int, str]]) -> str:
 
 
 def template_subtrees(pages: DataFrame, url_column: str, html_column: str, min_pages: int, min_share: float) -> DataFrame:
-    """(host, subtrees): hashes of the subtrees on many pages of the host.
+    """(host, subtrees): hashes of the subtrees that occur with many different main texts of the host.
 
-    A page has a bounded number of subtrees, and each listed one is on ``min_share`` of the pages, so a host's
+    A page has a bounded number of subtrees, and each listed one occurs with ``min_share`` of the texts, so a host's
     list holds at most ``1 / min_share`` times the subtrees of an average page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter[tuple[str, int]] = Counter()
+            found: set[tuple[str, int, int]] = set()
             for url, source in zip(batch.column(0), batch.column(1)):
-                host = host_of(url.as_py())
-                found[host, -1] += 1  # the page itself
-                found.update((host, h) for h in parse(source.as_py() or "").subtrees)
-            keys = list(found)
+                page = parse(source.as_py() or "")
+                text = xxhash.xxh64_intdigest(page.text.encode("utf-8", "surrogatepass")) >> 1
+                found.update((host_of(url.as_py()), h, text) for h in (-1, *page.subtrees))  # -1: the page itself
+            hosts, hashes, texts = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.int64()), pa.array(list(found.values()), pa.int64())],
-                names=["host", "subtree", "n"],
+                [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(texts, pa.int64())], names=["host", "subtree", "main_text"],
             )
 
-    counts = pages.select(url_column, html_column).mapInArrow(run, "host string, subtree long, n long")
-    counts = materialise(counts.groupBy("host", "subtree").agg(F.sum("n").alias("n")).where(f"subtree = -1 OR n >= {min_pages}"), "subtree_counts")
-    size = counts.where("subtree = -1").select("host", F.col("n").alias("pages"))
-    many = counts.where("subtree <> -1").join(size, "host").where(F.col("n") >= min_share * F.col("pages"))
+    seen = pages.select(url_column, html_column).mapInArrow(run, "host string, subtree long, main_text long").distinct()
+    counts = materialise(seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(f"subtree = -1 OR n >= {min_pages}"), "subtree_counts")
+    size = counts.where("subtree = -1").select("host", F.col("n").alias("texts"))
+    many = counts.where("subtree <> -1").join(size, "host").where(F.col("n") >= min_share * F.col("texts"))
     return many.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("subtrees"))
 
 
@@ -231,8 +250,8 @@ def extract(
     """All columns of ``pages`` except the html, with ``text`` and ``n_chars`` (code points).
 
     Blocks are joined by one line feed; white space inside a block is one space.  Null html is an empty page
-    with empty text; pages whose url is null or has no host count as one host.  Repeated rows count as pages
-    of their own.  Existing columns with the result's names are replaced.
+    with empty text; pages whose url is null or has no host count as one host.  Pages with the same main text,
+    repeated rows among them, count once.  Existing columns with the result's names are replaced.
     """
     pages = pages.drop("text", "n_chars", "__host", "__template")
     template = materialise(template_subtrees(pages, url_column, html_column, min_pages, min_share), "site_templates")
