@@ -201,15 +201,19 @@ def train_stream(
     return w
 
 
-def score(w: Weights, class_of: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each text, its end included."""
-    total = np.zeros(len(first) - 1)
+def token_scores(w: Weights, class_of: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each id of the texts, their ends included."""
+    found = [np.zeros(0)]
     for lo in range(0, len(first) - 1, 256):  # windows of a few texts at a time
         hi = min(lo + 256, len(first) - 1)
         data = windows(ids[first[lo] : first[hi]], first[lo : hi + 1] - first[lo])
         for at in range(0, len(data), BATCH):
             part = slice(at, at + BATCH)
-            batch = Windows(data.inputs[part], data.targets[part], data.counted[part], data.text[part])
-            owner = np.repeat(batch.text, batch.counted.sum(1))
-            total[lo:hi] += np.bincount(owner, log_probabilities(w, class_of, batch), hi - lo)
-    return total
+            found.append(log_probabilities(w, class_of, Windows(data.inputs[part], data.targets[part], data.counted[part], data.text[part])))
+    return np.concatenate(found)  # windows follow each other, and each counts the ids after those of the one before
+
+
+def score(w: Weights, class_of: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each text, its end included."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return np.bincount(owner, token_scores(w, class_of, ids, first), len(first) - 1)

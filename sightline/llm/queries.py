@@ -13,7 +13,7 @@ from sightline.llm.decontaminate import contaminated
 from sightline.llm.fill_middle import fill_in_middle
 from sightline.llm.html_text import extract
 from sightline.llm.langid import identify
-from sightline.llm.lm_scoring import score_documents
+from sightline.llm.lm_scoring import COUNT_SHARE, score_documents
 from sightline.llm.quality import judge
 from sightline.llm.simhash import near_duplicate_groups
 from sightline.llm.substring_dedup import remove_repeated_passages
@@ -65,7 +65,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     tokens = bpe.load_ranks(public_tokenizers.path(BYTE_BPE))
-    scored = score_documents(docs, is_training=fifth() != 1, tokens=tokens)
+    scored = score_documents(docs, is_training=fifth() != 1, tokens=tokens, count_share=COUNT_SHARE)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -115,3 +115,36 @@ def test_score_learns_from_documents_outside_the_sample(spark, tokens):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {steps: L.score_documents(docs, F.col("train"), tokens, sample_bytes=0, steps=steps, bucket_bytes=400_000).where("held_out").agg(F.sum("score")).first()[0] for steps in (0, 1)}
     assert got[1] > 0.5 * got[0]
+
+
+def test_counts_and_model_beat_counts(spark, tokens):
+    """With the corpus counts beside it, the model gives held-out documents more than word frequencies alone do."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    rows = L.score_documents(docs, part != 1, tokens, steps=600, count_share=L.COUNT_SHARE).where("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_mixture_by_words(spark, tokens):
+    """The mixture against its definition, from the same model and the counts."""
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choice(["the", "cat", "sat", "unheardof", "é"]) for _ in range(rng.randrange(9))), None, k % 4 != 1) for k in range(40)]
+    docs = spark.createDataFrame([*rows, (90, None, None, False), (91, "", None, True)], SCHEMA)
+    got = {share: {r.doc_id: r for r in L.score_documents(docs, F.col("train"), tokens, steps=0, count_share=share).collect()} for share in (0.0, 0.3, 1 - 1e-12)}
+    c = Counter(w for _, t, _, train in rows if train for w in [*t.split(), None]) + Counter({None: 1})
+    base = sum(c.values()) + 0.5 * (len(c) + 1)
+    words = [len(t.split()) for _, t, _, _ in rows]
+    assert max(words) > 4 and min(words) == 0
+    classes = L.class_of_subwords(tokens)
+    w = A.initial(classes, np.bincount(L.Subwords(tokens).streams(L.Lexicon(pa.array([r[1] for r in rows if r[3]] + [""])))[0], minlength=A.VOCABULARY))
+    for k, t, _, _ in rows:
+        lexicon = L.Lexicon(pa.array([t]))
+        ids, first = L.Subwords(tokens).streams(lexicon)
+        logs, at, total = A.token_scores(w, classes, ids, first), 0, 0.0
+        for word in [*t.split(), None]:
+            n = 1 if word is None else int(L.Subwords(tokens).encode([word.encode()]).sizes[0])
+            total += math.log(0.3 * (c[word] + 0.5) / base + 0.7 * math.exp(logs[at : at + n].sum()))
+            at += n
+        assert abs(got[0.3][k].score - total / math.log(10)) < 1e-4 * max(1, abs(total))
+        assert abs(got[1 - 1e-12][k].score - got[0.0][k].base_score) < 1e-6
+        assert abs(got[0.0][k].score - logs.sum() / math.log(10)) < 1e-4 * max(1, abs(logs.sum()))
