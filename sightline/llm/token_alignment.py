@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,15 @@ from sightline.session import materialise
 BLOCK_BYTES = 8 << 20
 CALL_BYTES = 1 << 20
 
-Encoder = Callable[[list[str]], list[list[int]]]
+#: Distinct words whose ids a worker remembers.
+MEMORY = 500_000
+#: Characters that some standard counts as white space or control; any other ends a word where a space follows.
+_DOUBTFUL = r"\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff"
+#: A word with the space before it; a space after a doubtful character does not end one.
+_CHUNK = re.compile(rf" ?[^ ]+(?:(?<=[{_DOUBTFUL}]) [^ ]*)*| (?:(?<=[{_DOUBTFUL}]) [^ ]*)*")
+_JOINS = re.compile(rf" .*[^{_DOUBTFUL}]", re.DOTALL).fullmatch
+
+Encoder = Callable[[list[str]], list[np.ndarray]]
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -44,6 +55,7 @@ def byte_level_tokenizer(content: bytes) -> tuple[Encoder, list[bytes]]:
     """Encoder of " " + text by a byte-level file of the tokenizers library, and the bytes of each id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     tokenizer = Tokenizer.from_str(content.decode())
     tokenizer.encode_special_tokens = True
@@ -52,11 +64,25 @@ def byte_level_tokenizer(content: bytes) -> tuple[Encoder, list[bytes]]:
     entries = [b""] * (max(vocabulary.values()) + 1)
     for entry, i in vocabulary.items():
         entries[i] = bytes(map(byte_of.__getitem__, entry)) if all(c in byte_of for c in entry) else entry.encode()
+    sizes = np.array([len(e) for e in entries])
+    # only a byte-level pattern without normalisation always cuts before a space that follows another character
+    cuts = tokenizer.normalizer is None and isinstance(tokenizer.pre_tokenizer, ByteLevel)
+
+    def encoded(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def learn(new: list[str]) -> Iterator[tuple[str, bytes]]:
+        alone = [c for c in new if not _JOINS(c)]
+        yield from ((c, ids.tobytes()) for c, ids in zip(alone, encoded(alone)))
+        joined = [c for c in new if _JOINS(c)]
+        for at in range(0, len(joined), 10_000):  # many words are one text: a call for each would cost more than its tokens
+            words = joined[at : at + 10_000]
+            (ids,) = encoded(["".join(words)])
+            last = (4 * np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(w.encode()) for w in words])) + 4).tolist()
+            raw = ids.tobytes()
+            yield from ((w, raw[i:j]) for w, i, j in zip(words, [0, *last], last))
 
-    return encode, entries
+    return _by_word(learn) if cuts else lambda texts: encoded([" " + t for t in texts]), entries
 
 
 def piece_tokenizer(content: bytes) -> tuple[Encoder, list[bytes]]:
@@ -64,93 +90,132 @@ def piece_tokenizer(content: bytes) -> tuple[Encoder, list[bytes]]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_proto=content)
-    entries = [
-        bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
-        for i, piece in enumerate(model.id_to_piece(list(range(model.get_piece_size()))))
-    ]
-    return lambda texts: model.encode(texts, num_threads=1), entries
+    pieces = model.id_to_piece(list(range(model.get_piece_size())))
+    entries = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+
+    def encoded(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int32) for ids in model.encode(texts, num_threads=1)]
+
+    def learn(new: list[str]) -> Iterator[tuple[str, bytes]]:
+        space = np.array([model.piece_to_id("▁")], np.int32).tobytes()
+        yield from ((c, ids.tobytes() if c != " " else space) for c, ids in zip(new, encoded([c[1:] for c in new])))
+
+    # words are encoded alone if no piece reaches from a word over the space after it, and the model adds one space
+    cuts = not any("▁" in p.lstrip("▁") for p in pieces) and [b"".join(entries[i] for i in ids) for ids in encoded(["a", " a"])] == [b" a", b"  a"]
+    return _by_word(learn) if cuts and model.piece_to_id("▁") != model.unk_id() else encoded, entries
+
+
+def _by_word(learn: Callable[[list[str]], Iterator[tuple[str, bytes]]]) -> Encoder:
+    """An encoder that asks ``learn`` for each new word and remembers its ids, as bytes."""
+    known: dict[str, bytes] = {}
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        words = [_CHUNK.findall(" " + t) for t in texts]
+        new = {w for w in chain.from_iterable(words) if w not in known}
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            new = set(chain.from_iterable(words))
+        known.update(learn(list(new)))
+        return [np.frombuffer(b"".join(map(known.__getitem__, w)), np.int32) for w in words]
 
+    return encode
 
-def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
-    """Stretches (i, i2, j, j2) that cover both token lists, and the linked places of A and of B.
 
-    Both lists of ends are ascending and have the same last end.  A stretch with ``i2 - i == j2 - j`` whose ends
-    are equal one by one is a run of one-to-one groups; every other stretch is one group.  Links are all pairs of
-    tokens that share a byte, in order.
+def align(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
+    """Stretches (i, i2, j, j2) that cover both token lists, in order.
+
+    Both lists of ends are ascending and have the same last end.  A stretch whose first ends are equal is a run of
+    one-to-one groups, found by exponential probing at the current index shift; every other stretch is one group.
     """
-    stretches, link_a, link_b = [], [], []
-    i, shift, n = 0, 0, len(ends_a)
+    stretches = []
+    ends_a, ends_b = [*ends_a, -1], [*ends_b, -2]  # ends that differ, so that probes stop there
+    i, shift, n = 0, 0, len(ends_a) - 1
     while i < n:
         j = i + shift
-        if ends_a[i] == ends_b[j]:
+        a, b = ends_a[i], ends_b[j]
+        if a == b:
             run = 1
-            while (ahead := ends_a[i + run : i + 2 * run]) and ahead == ends_b[j + run : j + 2 * run]:
-                run += len(ahead)
-            step = run
-            while step > 1:
-                step //= 2
-                if (ahead := ends_a[i + run : i + run + step]) and ahead == ends_b[j + run : j + run + step]:
-                    run += len(ahead)
+            if ends_a[i + 1] == ends_b[j + 1]:
+                run = 2
+                while ends_a[i + run : i + 2 * run] == ends_b[j + run : j + 2 * run]:
+                    run *= 2
+                step = run
+                while step > 1:
+                    step //= 2
+                    if ends_a[i + run : i + run + step] == ends_b[j + run : j + run + step]:
+                        run += step
             stretches.append((i, i + run, j, j + run))
-            link_a.extend(range(i, i + run))
-            link_b.extend(range(j, j + run))
             i += run
             continue
-        start_a, start_b, a, b = i, j, ends_a[i], ends_b[j]
-        while True:
-            link_a.append(i)
-            link_b.append(j)
+        start_a, start_b = i, j
+        while a != b:
             if a < b:
                 i += 1
                 a = ends_a[i]
-            elif b < a:
+            else:
                 j += 1
                 b = ends_b[j]
-            else:
-                break
         i, j = i + 1, j + 1
         stretches.append((start_a, i, start_b, j))
         shift = j - i
-    return stretches, link_a, link_b
+    return stretches
+
 
+def groups_of(stretches: list[tuple[int, int, int, int]], ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each group the places after its last token of A and of B."""
+    i, i2, j, j2 = np.array(stretches, np.int64).reshape(-1, 4).T
+    size = np.where(ends_a[i] == ends_b[j], i2 - i, 1)  # groups of the stretch
+    back = np.repeat(np.cumsum(size), size) - np.arange(1, size.sum() + 1)  # groups after this one in its stretch
+    return np.repeat(i2, size) - back, np.repeat(j2, size) - back
 
-def is_run(stretch: tuple[int, int, int, int], ends_a: list[int], ends_b: list[int]) -> bool:
-    i, _, j, _ = stretch
-    return ends_a[i] == ends_b[j]
+
+def links_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the linked tokens of A and B, in order: the bytes between two neighbouring ends, of either, belong
+    to one token of each, and so every link owns one such stretch of bytes."""
+    is_a, is_b = np.zeros(ends_a[-1] + 1, bool), np.zeros(ends_a[-1] + 1, bool)
+    is_a[ends_a] = is_b[ends_b] = True
+    ends = np.flatnonzero(is_a | is_b)
+    return (np.cumsum(is_a) - is_a)[ends], (np.cumsum(is_b) - is_b)[ends]
 
 
 class _Aligner:
     """Encodes and aligns texts; lives in one Python worker."""
 
     def __init__(self, content_a: bytes, content_b: bytes):
-        (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = byte_level_tokenizer(content_a), piece_tokenizer(content_b)
-        self.sizes_a, self.sizes_b = np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])
-        self.names_a, self.names_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
+        (self.encode_a, bytes_a), (self.encode_b, bytes_b) = byte_level_tokenizer(content_a), piece_tokenizer(content_b)
+        self.bytes_a, self.bytes_b = np.array(bytes_a, object), np.array(bytes_b, object)
+        self.sizes_a, self.sizes_b = np.array([len(x) for x in bytes_a]), np.array([len(x) for x in bytes_b])
+        self.names_a = [np.array([f"{i}{mark}" for i in range(len(bytes_a))], object) for mark in ",|"]
+        self.names_b = [np.array([f"{i}{mark}" for i in range(len(bytes_b))], object) for mark in ",;"]
 
     def rows(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """(n_a, n_b, n_groups, groups, linked pairs as a << 32 | b) for each text."""
         for text, a, b in zip(texts, self.encode_a(texts), self.encode_b(texts)):
             whole = b" " + text.encode()
-            if (
-                not text
-                or b"".join(map(self.bytes_a.__getitem__, a)) != whole
-                or b"".join(map(self.bytes_b.__getitem__, b)) != whole
-            ):
+            if not text or any(b"".join(table[ids].tolist()) != whole for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
                 yield 0, 0, 0, "", np.zeros(0, np.int64)
                 continue
-            ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-            ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]).tolist(), np.cumsum(self.sizes_b[ids_b]).tolist()
-            stretches, link_a, link_b = align(ends_a, ends_b)
-            names_a, names_b = list(map(self.names_a.__getitem__, a)), list(map(self.names_b.__getitem__, b))
-            parts, count = [], 0
-            for i, i2, j, j2 in stretches:
-                if ends_a[i] == ends_b[j]:
-                    parts.extend(map("|".join, zip(names_a[i:i2], names_b[j:j2])))
-                    count += i2 - i
-                else:
-                    parts.append(f"{','.join(names_a[i:i2])}|{','.join(names_b[j:j2])}")
-                    count += 1
-            yield len(a), len(b), count, ";".join(parts), ids_a[link_a] << 32 | ids_b[link_b]
+            ids_a, ids_b = a.astype(np.int64), b.astype(np.int64)
+            ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+            last_a, last_b = groups_of(align(ends_a.tolist(), ends_b.tolist()), ends_a, ends_b)
+            link_a, link_b = links_of(ends_a, ends_b)
+            yield len(a), len(b), len(last_a), self._written(ids_a, ids_b, last_a, last_b), ids_a[link_a] << 32 | ids_b[link_b]
+
+    def _written(self, ids_a: np.ndarray, ids_b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
+        """The groups as text: the tokens of A, then those of B, group by group."""
+        out = np.empty(len(ids_a) + len(ids_b), object)
+        group_a, group_b = (np.repeat(np.arange(len(last)), np.diff(last, prepend=0)) for last in (last_a, last_b))
+        place_a = np.arange(len(ids_a)) + np.concatenate([[0], last_b])[group_a]
+        place_b = np.arange(len(ids_b)) + last_a[group_b]
+        out[place_a], out[place_b] = self.names_a[0][ids_a], self.names_b[0][ids_b]
+        out[place_a[last_a - 1]], out[place_b[last_b - 1]] = self.names_a[1][ids_a[last_a - 1]], self.names_b[1][ids_b[last_b - 1]]
+        return "".join(out.tolist())[:-1]
+
+
+@lru_cache(maxsize=1)
+def _aligner(content_a: bytes, content_b: bytes) -> _Aligner:
+    """The aligner of this worker: what it remembers serves its later tasks too."""
+    return _Aligner(content_a, content_b)
 
 
 def _blocks(docs: DataFrame, id_column: str, text_column: str, path_a: str, path_b: str, keep_groups: bool) -> DataFrame:
@@ -194,7 +259,7 @@ def _blocks(docs: DataFrame, id_column: str, text_column: str, path_a: str, path
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _Aligner(*shared.value)
+        aligner = _aligner(*shared.value)
         block = TaskContext.get().partitionId() << 32
         ids: list[pa.Array] = []
         found: list[tuple] = []

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -13,6 +14,10 @@ from sightline.llm import token_alignment as ta
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
+ENCODE_A, _ = ta.byte_level_tokenizer(open(A, "rb").read())
+ENCODE_B, PIECES_B = ta.piece_tokenizer(open(B, "rb").read())
+SPACE_B = len(PIECES_B) - 1 - PIECES_B[::-1].index(b" ")
+
 
 def overlaps(ends_a, ends_b):
     spans = [list(zip([0, *ends], ends)) for ends in (ends_a, ends_b)]
@@ -25,25 +30,31 @@ def test_align(data):
     n = data.draw(st.integers(1, 60))
     draw = lambda: sorted({*data.draw(st.sets(st.integers(1, n))), n})
     a, b = (list(range(1, n + 1)), draw()) if data.draw(st.booleans()) else (draw(), draw())
-    stretches, link_a, link_b = ta.align(a, b)
-    assert list(zip(link_a, link_b)) == overlaps(a, b)
+    last_a, last_b = ta.groups_of(ta.align(a, b), np.array(a), np.array(b))
     common = sorted(set(a) & set(b))
-    ends = []
-    for i, i2, j, j2 in stretches:
-        if ta.is_run((i, i2, j, j2), a, b):
-            assert a[i:i2] == b[j:j2]
-            ends += a[i:i2]
-        else:
-            assert a[i2 - 1] == b[j2 - 1]
-            ends.append(a[i2 - 1])
-    assert ends == common
+    assert [a[k - 1] for k in last_a] == common and [b[k - 1] for k in last_b] == common
+    link_a, link_b = ta.links_of(np.array(a), np.array(b))
+    assert list(zip(link_a.tolist(), link_b.tolist())) == overlaps(a, b)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab é漢\n\x85\u3000'1!▁<s>", max_size=40))
+def test_words_are_encoded_alone(text):
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    assert ENCODE_B([text])[0].tolist() == (SentencePieceProcessor(model_file=B).encode(text) if text else [SPACE_B])
+    whole = Tokenizer.from_file(A)
+    whole.encode_special_tokens = True
+    assert "".join(ta._CHUNK.findall(" " + text)) == " " + text
+    assert ENCODE_A([text])[0].tolist() == whole.encode(" " + text, add_special_tokens=False).ids
 
 
 def brute(rows):
     (encode_a, bytes_a), (encode_b, bytes_b) = ta.byte_level_tokenizer(open(A, 'rb').read()), ta.piece_tokenizer(open(B, 'rb').read())
     parsed, counts = [], Counter()
     for _, text in rows:
-        ids = (encode_a([text or ""])[0], encode_b([text or ""])[0]) if text else ([], [])
+        ids = (encode_a([text])[0].tolist(), encode_b([text])[0].tolist()) if text else ([], [])
         whole = b" " + (text or "").encode()
         if not text or any(b"".join(t[i] for i in x) != whole for t, x in zip((bytes_a, bytes_b), ids)):
             parsed.append(([], [], [], ""))
