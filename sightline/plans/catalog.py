@@ -21,9 +21,10 @@ from sightline.operators import (
     process,
     propose,
     report,
+    rule_sets,
     summaries,
 )
-from sightline import sinks
+from sightline import rules, schemas, sinks
 from sightline.plans import fixtures, offline
 from sightline.rules import Rules, risk_rating
 from sightline.schemas import NESTED_FINDING, RESOURCE_COLUMNS, raw_name
@@ -1120,3 +1121,133 @@ def review_cards(t):
 def review_lookup(t):
     """Facts of the members of a board, taken from the map of checks of their run."""
     return exports.member_facts(t.members(), exports.check_lookup(t.groups())).withColumn("categories", F.array_join("categories", ";"))
+
+
+@query
+def rule_versions(t):
+    """Likelihoods by the rules that hold for each run: two versions for all clients, one of a client's own; and faulty rule rows."""
+    import datetime
+
+    day = datetime.date
+    base = rules.rule_table(t.spark, RULES)
+    version = lambda client, since, df: df.select(F.lit(client).alias("client"), F.lit(since).alias("valid_from"), "*")
+    strict = base.withColumn("rule_value", F.when((F.col("rule") == "severity") & (F.col("rule_key") == "low"), "High").otherwise(F.col("rule_value")))
+    plain = base.filter("rule <> 'high_if_category'")
+    versions = version("*", day(2020, 1, 1), base).unionByName(version("*", day(2025, 1, 1), strict)).unionByName(version("client-ASIA", day(2024, 1, 1), plain))
+    runs = t.groups().select("run_id").distinct().select(
+        "run_id", F.concat(F.lit("client-"), "run_id").alias("client"),
+        F.when(F.col("run_id") < "B", F.lit(day(2024, 6, 1))).otherwise(F.lit(day(2026, 1, 1))).alias("run_date"),
+    )
+    rated = rule_sets.likelihood_by_rules(t.groups(), rule_sets.rules_of_runs(runs, versions))
+    wrong = version("*", day(2025, 1, 1), base.withColumn("rule_key", F.when(F.col("rule") == "risk_matrix", F.lower("rule_key")).otherwise(F.col("rule_key"))))
+    faulty = rule_sets.invalid_rules(versions.unionByName(wrong))
+    return rated.select("run_id", F.col("output_group_key").alias("item"), F.col("likelihood_by_rules").alias("value")).unionByName(
+        faulty.select(F.col("client").alias("run_id"), F.concat_ws("=", "rule", "rule_key").alias("item"), F.lit("invalid").alias("value"))
+    )
+
+
+def _faulty_answers(t) -> DataFrame:
+    """Grouping answers with every kind of fault, one for each chunk, made of its own checks."""
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("chunk_pos", "member_key"))), lambda s: s["member_key"])
+    chunks = t.chunked().groupBy("run_id", "chunk_no").agg(keys.alias("ids"))
+    n, ids = F.col("chunk_no") % 7, F.col("ids")
+    group = lambda name, ids, why: F.struct(name.alias("group_name"), ids.alias("check_ids"), why.alias("rationale"))
+    all_of, none = group(F.lit("all"), ids, F.lit("One fix.")), F.lit(None).cast("string")
+    first = F.slice(ids, 1, 1)
+    items = (
+        F.when(n == 0, F.array(all_of))
+        .when(n == 1, F.array(group(F.lit("rest"), F.slice(ids, 2, 100), F.lit("One fix."))))
+        .when(n == 2, F.array(all_of, group(F.lit("again"), F.concat(first, first), F.lit("Twice."))))
+        .when(n == 3, F.array(group(F.lit("all"), F.concat(ids, F.array(F.lit("ghost_b"), F.lit("ghost_a"))), F.lit(""))))
+        .when(n == 4, F.array(group(F.lit(""), ids, none), group(F.lit("empty"), F.array().cast("array<string>"), F.lit("None."))))
+        .when(n == 5, F.array().cast("array<struct<group_name:string,check_ids:array<string>,rationale:string>>"))
+    )
+    return chunks.select("run_id", "chunk_no", items.alias("items"))
+
+
+@query
+def answer_faults(t):
+    """Errors of grouping answers of every kind, by joins."""
+    found = grouping.answer_faults(t.chunked().select("run_id", "chunk_no", "member_key"), _faulty_answers(t), SCOPE)
+    return grouping.fault_texts(found, SCOPE)
+
+
+# --- files of every layout -----------------------------------------------------------------------------------------------
+
+
+_SEPARATORS = {"AFRICA": ",", "AMERICA": "|", "ASIA": "\t", "EUROPE": ";"}
+
+
+def _layouts(t) -> str:
+    """Findings of each run written in a layout of its own: every delimiter, Latin-1, JSON without a suffix; and a file of other columns.
+
+    A title holds quotes after all delimiters.
+    """
+    path = t.scratch("layouts")
+    title = F.concat(F.lit('a|"b;"c,"d '), F.coalesce("CHECK_TITLE", F.lit("none")), F.lit(" é"))
+    rows = _export(t).withColumn("CHECK_TITLE", title)
+    of_run = F.substring_index("NOTES", "#", 1)
+    for run, sep in _SEPARATORS.items():
+        encoding = "ISO-8859-1" if run == "AMERICA" else "UTF-8"
+        rows.filter(of_run == run).write.option("header", True).option("sep", sep).option("escape", '"').option("encoding", encoding).csv(f"{path}/{run}")
+    part = F.floor(F.substring_index("NOTES", "#", -1).cast("long") / 2000)
+    item = F.to_json(F.struct(*[F.col(c) for c in rows.columns]))
+    lists = rows.filter(~of_run.isin(*_SEPARATORS)).select(part.alias("part"), item.alias("item")).groupBy("part").agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("item"), ",\n"), F.lit("]")).alias("value")
+    )
+    lists.repartition("part").drop("part").write.option("maxRecordsPerFile", 1).text(f"{path}/json")
+    t.table("region").write.option("header", True).csv(f"{path}/other")
+    return path
+
+
+@query
+def mixed_scan(t):
+    """Rows of files of every layout, CSV and JSON, read in one go; the format is found from name or text."""
+    return _scanned(json_files.read_findings(t.spark, _layouts(t) + "/*").rows, "raw_check_title")
+
+
+@query
+def file_report(t):
+    """Warnings and rejections of such files, once for each layout."""
+    scan = json_files.read_findings(t.spark, _layouts(t) + "/*")
+    rejected = scan.rejected.select(F.regexp_extract("source_file", "/layouts-[0-9a-f]+/([^/]+)/", 1).alias("layout"), F.col("reason").alias("code"))
+    return scan.warnings.select(F.lit("").alias("layout"), "code").unionByName(rejected).distinct()
+
+
+@query
+def scan_fingerprints(t):
+    """Rows of written files that carry the SHA-256 of their file's bytes, by run."""
+    path = _layouts(t) + "/*"
+    hashes = t.spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("source_file_hash")).distinct()
+    rows = json_files.read_findings(t.spark, path).rows
+    return rows.join(hashes, "source_file_hash", "left_semi").groupBy(F.substring_index("raw_notes", "#", 1).alias("run_id")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def control_scan(t):
+    """Controls written as CSV with a comment column and blank rows, read back by name; and why other files are rejected."""
+    path = t.scratch("controls")
+    cells = ["raw_control_id", "raw_requirement", "raw_result", "raw_criticality", "raw_details", "raw_original_result"]
+    names = dict(zip(cells, (*schemas.CONTROL_REQUIRED, "OriginalResult")))
+    rows = t.raw_controls().select(
+        *[F.col(c).alias(n) for c, n in names.items()], F.concat_ws("#", "run_id", F.col("row_no").cast("string")).alias("Row"), F.lit("N/A").alias("Comments"),
+    )
+    blank = rows.filter("Row LIKE '%7'").select(*[F.lit(None).cast("string").alias(c) for c in rows.columns])
+    rows.unionByName(blank).write.option("header", True).option("escape", '"').csv(path)
+    t.table("nation").write.option("header", True).mode("append").csv(path)
+    scan = delimited.read_controls_csv(t.spark, path, glob="*.csv", tenant_id="t")
+    out = scan.rows.select(F.col("extra_fields")["Row"].alias("row"), "tenant_id", *[cf.clean_control(F.col(c)).alias(c) for c in (*cells, "raw_comments")])
+    reasons = scan.rejected.select("reason").distinct()
+    return out.unionByName(reasons.select(F.col("reason").alias("row"), *[F.lit(None).cast("string").alias(c) for c in out.columns[1:]]))
+
+
+@query
+def approval_files(t):
+    """Approvals written as one JSON file per run, read back; a run whose first group has no name is rejected."""
+    path = t.scratch("approval-files")
+    named = t.approved().withColumn("group_name", F.when((F.col("run_id") == "ASIA") & (F.col("group_no") == 1), "").otherwise(F.col("group_name")))
+    sinks.approvals_json(named).withColumn("run", F.col("run_id")).select("run", "payload").write.partitionBy("run").text(path)
+    scan = json_files.read_approvals(t.spark, path)
+    rows = scan.rows.select("run_id", "group_no", "group_name", "rationale", "risk_rating_override", "pos", "member_key")
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("rationale", "risk_rating_override", "pos", "member_key")]
+    return rows.unionByName(scan.rejected.select("run_id", F.lit(0).alias("group_no"), F.col("reason").alias("group_name"), *none))

@@ -1,6 +1,6 @@
 """SQL of the queries that give the outputs of whole runs."""
 
-from sightline.plans.oracle import _CRANK, _RANK, _SECRANK, SELECTS
+from sightline.plans.oracle import _RANK, SELECTS, _clean_control
 
 _INGEST = """SELECT run_id, 'rows' AS section, 'findings' AS key, count(*) AS value FROM norm GROUP BY run_id
   UNION ALL SELECT run_id, 'status', scanner_status, count(*) FROM norm GROUP BY ALL
@@ -93,7 +93,37 @@ def _proposed(att: str, version: int, runs: str) -> str:
     WHERE g.run_id {runs} IN ('ASIA', 'EUROPE')"""
 
 
+_SCANNED = (
+    "run_id || '#' || row_no AS raw_notes, raw_provider, raw_account_name, raw_check_id, raw_status, raw_severity, raw_resource_uid, "
+    "raw_region, trim(raw_compliance) AS raw_compliance, raw_categories, raw_resource_tags"
+)
+_FAULTS = """SELECT run_id, chunk_no, CASE chunk_no % 7
+    WHEN 1 THEN 'Missing check_ids: ' || min(member_key) FILTER (chunk_pos = 1)
+    WHEN 2 THEN 'check_id ''' || min(member_key) FILTER (chunk_pos = 1) || ''' appears in more than one group'
+    WHEN 3 THEN 'Group 0: missing or empty ''rationale''; Unknown check_ids: ghost_a, ghost_b'
+    WHEN 4 THEN 'Group 0: missing or empty ''group_name''; Group 0: missing or empty ''rationale''; Group 1: missing or empty ''check_ids'''
+    WHEN 5 THEN 'Expected a non-empty JSON array of groups' WHEN 6 THEN 'Expected a non-empty JSON array of groups' END AS errors
+  FROM chunks GROUP BY run_id, chunk_no HAVING chunk_no % 7 <> 0"""
+_RULED = """SELECT run_id, output_group_key AS item, CASE WHEN run_id <> 'ASIA' AND list_contains(categories_list, 'internet-exposed') THEN 'High'
+    WHEN lower(raw_severity) IN ('critical', 'high') THEN 'High' WHEN lower(raw_severity) = 'low' AND run_id > 'B' THEN 'High'
+    WHEN lower(raw_severity) IN ('low', 'informational') THEN 'Low' ELSE 'Medium' END AS value FROM grp
+  UNION ALL SELECT '*', 'risk_matrix=' || lower(a || '_' || b), 'invalid' FROM (SELECT unnest(['High', 'Medium', 'Low']) AS a), (SELECT unnest(['Major', 'Moderate', 'Minor']) AS b)"""
+_CONTROL_CELLS = ("raw_control_id", "raw_requirement", "raw_result", "raw_criticality", "raw_details", "raw_original_result")
+_CONTROL_SCAN = f"""SELECT run_id || '#' || row_no AS row, 't' AS tenant_id, {", ".join(f"{_clean_control(c)} AS {c}" for c in _CONTROL_CELLS)}, NULL AS raw_comments FROM controls_raw
+  UNION ALL SELECT 'missing required columns: [''Control ID'', ''Criticality'', ''Details'', ''Requirement'', ''Result'']', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL"""
+_APPROVAL_FILES = """SELECT run_id, dense_rank() OVER (PARTITION BY run_id ORDER BY group_no) AS group_no, group_name, rationale, risk_rating_override,
+    row_number() OVER (PARTITION BY run_id, group_no ORDER BY pos, member_key) AS pos, member_key FROM approved WHERE run_id <> 'ASIA'
+  UNION ALL SELECT DISTINCT run_id, 0, 'a group lacks group_name or check_ids', NULL, NULL, NULL::BIGINT, NULL FROM approved WHERE run_id = 'ASIA'"""
+
+
 OUTPUTS = {
+    "rule_versions": _RULED,
+    "answer_faults": _FAULTS,
+    "mixed_scan": f"""SELECT 'a|"b;"c,"d ' || coalesce(raw_check_title, 'none') || ' é' AS raw_check_title, {_SCANNED} FROM raw""",
+    "file_report": """SELECT '' AS layout, 'NON_STANDARD_DELIMITER' AS code UNION ALL SELECT 'other', '0 known columns, at least 10 needed'""",
+    "scan_fingerprints": "SELECT run_id, count(*) AS rows FROM raw GROUP BY run_id",
+    "control_scan": _CONTROL_SCAN,
+    "approval_files": _APPROVAL_FILES,
     "ingest_report": _INGEST,
     "process_report": _PROCESS,
     "audit_trail": f"SELECT * EXCLUDE (step_no) FROM ({_TRAIL})",

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import exports, summaries
+from sightline.functions import responses
+from sightline.operators import exports, grouping, rule_sets, summaries
 from sightline.plans.catalog import QUERIES
 from sightline.plans.oracle import oracle_queries
 from sightline.schemas import AUDIT
@@ -16,7 +17,8 @@ from tests.test_stages import SF, needs_tables
 @needs_tables
 @pytest.mark.parametrize("name", [
     "ingest_report", "process_report", "audit_trail", "control_run_summary", "enriched_groups", "grouping_proposal",
-    "approval_versions", "review_cards", "review_lookup",
+    "approval_versions", "review_cards", "review_lookup", "rule_versions", "answer_faults", "mixed_scan", "file_report",
+    "scan_fingerprints", "control_scan", "approval_files",
 ])
 def test_query_equals_sql(spark, name):
     assert difference(QUERIES[name](spark, SF), duck(SF), oracle_queries()[name]) is None
@@ -112,3 +114,38 @@ def test_ingest_report_reads_the_lines_once(spark):
     rows = normalise_findings(findings_view(spark, SF))
     plan = _plan(summaries._sections(rows.select("run_id", "scanner_status"), {"run": None, "status": "scanner_status"}, [F.count(F.lit(1)).alias("n")]))
     assert plan.count("lineitem.parquet") <= 1
+
+
+def test_faults_of_answers_like_the_column_form(spark):
+    """The same errors, in the same order, as the test of one parsed answer."""
+    items = "array<struct<group_name:string,check_ids:array<string>,rationale:string>>"
+    group = lambda name, ids, why="why": {"group_name": name, "check_ids": ids, "rationale": why}
+    cases = [
+        [group("g", ["a", "b"]), group("c", ["c"])], [group("g", ["a"])], [group("g", ["a"]), group("h", ["a", "b", "b"]), group("i", ["c", "a"])],
+        [group("", None, ""), group(None, [], None), group("g", ["a", "b", "c"])], [group("g", ["c", "b", "a", "z", "y", "z"])], [], None,
+        [group("g", ["a", None, "b"])],
+    ]
+    answers = spark.createDataFrame([("r", k, c) for k, c in enumerate(cases)], f"run_id string, chunk_no int, items {items}")
+    expected = spark.createDataFrame([("r", k, c) for k in range(len(cases)) for c in "cab"], "run_id string, chunk_no int, member_key string")
+    column = F.array(F.lit("c"), F.lit("a"), F.lit("b"))
+    for strict in (True, False):
+        want = {r.chunk_no: "; ".join(r.e) for r in answers.select("chunk_no", responses.grouping_errors(F.col("items"), column, strict).alias("e")).collect() if r.chunk_no < 7}
+        found = grouping.fault_texts(grouping.answer_faults(expected, answers, ["run_id", "chunk_no"], strict), ["run_id", "chunk_no"]).collect()
+        got = {r.chunk_no: r.errors for r in found if r.chunk_no < 7}
+        assert got == {k: e for k, e in want.items() if e}
+
+
+def test_rules_hold_from_their_date(spark):
+    rows = [("*", "2020-01-01", "severity", "low", "Low"), ("*", "2022-01-01", "severity", "low", "High"), ("me", "2021-01-01", "severity", "low", "Medium"),
+            ("me", "2021-01-01", "include_status", "PASS", "INCLUDED"), ("me", "2099-01-01", "severity", "low", "Low")]
+    versions = spark.createDataFrame(rows, "client string, valid_from string, rule string, rule_key string, rule_value string").withColumn("valid_from", F.to_date("valid_from"))
+    runs = spark.createDataFrame([("a", "x", "2021-06-01"), ("b", "x", "2022-01-01"), ("c", "me", "2023-01-01"), ("d", "me", "2020-06-01"), ("e", "x", "2019-01-01"), ("f", None, "2023-01-01")],
+                                 "run_id string, client string, run_date string").withColumn("run_date", F.to_date("run_date"))
+    held = rule_sets.rules_of_runs(runs, versions)
+    assert {r.run_id: r.rule_value for r in held.filter("rule = 'severity'").collect()} == {"a": "Low", "b": "High", "c": "Medium", "d": "Low", "f": "High"}
+    found = spark.createDataFrame([("c", "PASS"), ("c", "FAIL"), ("a", "PASS")], "run_id string, scanner_status string")
+    assert {(r.run_id, r.scanner_status): r.included for r in rule_sets.status_by_rules(found, held).collect()} == {("c", "PASS"): True, ("c", "FAIL"): False, ("a", "PASS"): False}
+    odd = spark.createDataFrame([("*", None, "severity", "x", "Huge"), ("*", None, "include_status", "UNKNOWN", "INCLUDED"), ("*", None, "unheard", "a", "b"),
+                                 ("*", None, "risk_matrix", "High_Major", "High"), ("*", None, "risk_matrix", "Major_High", "High")],
+                                "client string, valid_from date, rule string, rule_key string, rule_value string")
+    assert sorted((r.rule, r.rule_key) for r in rule_sets.invalid_rules(odd).collect()) == [("include_status", "UNKNOWN"), ("risk_matrix", "Major_High"), ("severity", "x"), ("unheard", "a")]
