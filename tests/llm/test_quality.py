@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sightline.llm import kneser_ney as K
 from sightline.llm.quality import base_counts, judge
@@ -128,3 +129,33 @@ def test_symbols_alone_are_not_kept(spark):
     clean = " ".join("".join(rng.choice("aeioulnrst") for _ in range(5)) for _ in range(80))
     got = judge(spark.createDataFrame([(1, junk, "en", "x"), (2, clean, "en", "x"), (3, junk, None, "x")], SCHEMA)).collect()
     assert {r.doc_id: (r.base_failed, r.kept) for r in got} == {1: (False, False), 2: (False, True), 3: (False, False)}
+
+
+@pytest.mark.parametrize("share", [0.01, 0.05])
+def test_random_junk_is_rejected(spark, share):
+    """Texts of random letters and digits, as many as one in twenty, among the given documents."""
+    rng = random.Random(11)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("lang IS NOT NULL")
+    n = docs.count()
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randrange(2, 10)))
+    junk = [(-k - 1, " ".join(word() for _ in range(rng.randrange(60, 300))), rng.choice(["en", "de", "fr", "es"])) for k in range(int(share * n))]
+    rows = judge(docs.union(spark.createDataFrame(junk, docs.schema))).where("NOT base_failed").collect()
+    kept = Counter((r.doc_id < 0, r.kept) for r in rows)
+    assert kept[True, False] >= 0.9 * len(junk) and kept[True, True] + kept[True, False] == len(junk)
+    assert kept[False, True] >= 0.985 * (kept[False, True] + kept[False, False])
+
+
+def test_bands_like_brute_force(spark):
+    """Quartiles and verdicts from the measured perplexities, in plain Python, with copies counted once."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = judge(docs.union(docs.where("doc_id < 20")), carry_text=True).collect()
+    by_lang = {}
+    for r in rows:
+        if not r.base_failed:
+            by_lang.setdefault(r.lang, {})[r.text] = r.log_perplexity
+    for r in rows:
+        values = sorted(by_lang[r.lang].values())
+        q1, q3 = (values[max(0, math.ceil(q * len(values)) - 1)] for q in (0.25, 0.75))
+        low, high = q1 - max(6 * (q3 - q1), 1.0), q3 + max(4 * (q3 - q1), 0.4)
+        assert (abs(r.low - low), abs(r.high - high)) < (1e-9, 1e-9)
+        assert r.kept == (not r.base_failed and low <= r.log_perplexity <= high)
