@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.text import quoted_array, strip, text_or
-from sightline.operators.grouping import unknown_members
-from sightline.rules import severity_rank
+from sightline.operators.grouping import merge_groups, unknown_members
+from sightline.rules import CONTROL_SEVERITY_RANK, severity_rank
 
 UNASSIGNED = "__unassigned__"
 SPLIT = "split:"
@@ -185,6 +185,30 @@ def apply_override(merged: DataFrame, overrides: DataFrame, allowed: tuple | Non
     return merged.join(one, ["run_id", "group_no"], "left")
 
 
+#: Ratings that an analyst may set on a control group.
+CONTROL_RATINGS = ("High", "Medium", "Low")
+
+
+def review_controls(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Control groups as approved: merged, with ``risk_override`` where the analyst's rating is allowed.
+
+    ``members`` are approved members with ``analyst_note`` and ``risk_rating_override``.  Unknown ids drop out, see
+    :func:`approval_warnings`; a group without known ids goes.  The note stands in for a missing rationale.
+    """
+    merged = apply_override(merge_groups(members, groups, "severity", CONTROL_SEVERITY_RANK, "low"), members, CONTROL_RATINGS)
+    return merged.withColumn("rationale", F.coalesce(F.nullif("rationale", F.lit("")), "analyst_note", F.lit("")))
+
+
+def override_audit(reviewed: DataFrame) -> DataFrame:
+    """Audit rows of ratings set in review, on each representative."""
+    none = F.lit(None).cast("string")
+    return reviewed.filter("risk_override IS NOT NULL").select(
+        "run_id", "representative.finding_instance_id", F.lit(3).alias("stage_no"), F.lit(2).alias("seq"), F.lit("review").alias("stage"),
+        F.lit("risk_rating").alias("field"), none.alias("old_value"), F.col("risk_override").alias("new_value"),
+        F.lit("Rating set in review").alias("reason"), F.lit("human").alias("actor"),
+    )
+
+
 def carry_forward(old: DataFrame, new: DataFrame, resources: DataFrame) -> DataFrame:
     """State of regrouped boards: section of the first member, the override when
     all members that have one agree, and the number of resources carried over.

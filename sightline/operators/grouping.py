@@ -309,14 +309,11 @@ def order_merged_controls(merged: DataFrame) -> DataFrame:
 
 def merge_audit(merged: DataFrame, groups: DataFrame, members: DataFrame, approved: bool = False) -> DataFrame:
     """Audit rows of merging: the semantic group, and the likelihood before and after."""
-    rep = groups.select(
-        "run_id", "check_id", F.col("output_section").alias("section"),
-        F.col("likelihood_rating").alias("old_likelihood"),
-    )
+    rep = groups.select("run_id", "finding_instance_id", F.col("likelihood_rating").alias("old_likelihood"))
     base = merged.select(
         "run_id", "group_name", "rationale", "is_merged", "likelihood_rating", *[c for c in merged.columns if c == "analyst_note"],
         F.array_join("check_ids", ", ").alias("ids"), "representative.*",
-    ).join(rep, ["run_id", "check_id", "section"])
+    ).join(rep, ["run_id", "finding_instance_id"])
     event = lambda seq, field, old, new, reason, actor: F.struct(
         F.lit(seq).alias("seq"), F.lit(field).alias("field"), old.alias("old_value"),
         new.alias("new_value"), reason.alias("reason"), F.lit(actor).alias("actor"),

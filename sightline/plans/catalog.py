@@ -1251,3 +1251,63 @@ def approval_files(t):
     rows = scan.rows.select("run_id", "group_no", "group_name", "rationale", "risk_rating_override", "pos", "member_key")
     none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("rationale", "risk_rating_override", "pos", "member_key")]
     return rows.unionByName(scan.rejected.select("run_id", F.lit(0).alias("group_no"), F.col("reason").alias("group_name"), *none))
+
+
+# --- review of controls ----------------------------------------------------------------------------------------------------
+
+
+def _approved_controls(t) -> DataFrame:
+    """Approved control groups with rationales, notes, overrides of every kind, and an unknown id in every third group."""
+    no = F.col("group_no")
+    ghost = t.control_members().filter((F.col("pos") == 1) & (no % 3 == 0)).withColumns({
+        "pos": F.lit(0), "member_key": F.concat(F.lit("ghost_"), no.cast("string")),
+    })
+    return t.control_members().unionByName(ghost).withColumns({
+        "rationale": F.when(no % 2 == 0, "Fix together").otherwise(""),
+        "analyst_note": F.when(no % 3 == 0, F.concat(F.lit("Note "), no.cast("string"))).otherwise(""),
+        "risk_rating_override": F.element_at(F.array(*[F.lit(v) for v in ("", " Low", "Critical", "High")]), (no % 4 + 1).cast("int")),
+    })
+
+
+@query
+def control_review(t):
+    """Control groups after review: only High, Medium and Low override; a note stands in for a missing rationale."""
+    return approvals.review_controls(_approved_controls(t), t.control_groups()).select(
+        "run_id", "group_no", "group_name", "rationale", "output_section", "severity", "likelihood_rating", "instance_count",
+        "member_count", "is_merged", "risk_override",
+    )
+
+
+@query
+def control_review_audit(t):
+    """What review changed on the representatives of control groups, and the warnings about unknown ids."""
+    members = _approved_controls(t)
+    reviewed = approvals.review_controls(members, t.control_groups())
+    events = grouping.merge_audit(reviewed, t.control_groups(), members, approved=True).unionByName(approvals.override_audit(reviewed))
+    unknown = approvals.approval_warnings(members, t.control_groups())
+    names = [f.name for f in schemas.AUDIT.fields]
+    as_event = {"finding_instance_id": F.lit(""), "stage_no": F.lit(3), "seq": F.lit(9), "field": F.col("code"), "old_value": F.col("check_id"),
+                "new_value": F.lit(None).cast("string"), "reason": F.col("message"), "actor": F.lit("pipeline")}
+    return events.select(*names).unionByName(unknown.select(*[as_event.get(n, F.col(n)).alias(n) for n in names]))
+
+
+@query
+def control_defaults(t):
+    """What a control row always has: provider, region, no comment, and the service fields of its id."""
+    return t.controls().select("run_id", "row_no", "provider", "region", "raw_comments", "criticality_raw", "service_prefix", "ref_prefix")
+
+
+@query
+def control_validate(t):
+    """Errors of control answers, which have recommendations as an eighth field, one answer for each group."""
+    n = F.col("group_order") % 6
+    fixes = F.when(n == 1, "").when(n == 2, ', "recommendations": null').otherwise(', "recommendations": "f"')
+    rating = F.when(n == 3, "major").otherwise("Major")
+    flag = F.when(n == 4, "1").otherwise("true")
+    body = F.concat(
+        F.lit('{"finding_title": "'), F.col("check_id"), F.lit('", "root_cause_narrative": "c", "situation_narrative": "s", "consequence_narrative": "q", '
+        '"access_required": "a", "consequence_rating": "'), rating, F.lit('", "needs_human_review": '), flag, fixes, F.lit("}"),
+    )
+    answer = F.when(n == 5, F.concat(F.lit("["), body, F.lit("]"))).otherwise(F.concat(F.lit("So: "), body))
+    errors = responses.enrichment_errors(F.try_parse_json(responses.json_object(answer)), True)
+    return t.control_groups().select("run_id", "group_order", F.array_join(errors, "; ").alias("errors"))

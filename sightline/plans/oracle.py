@@ -261,7 +261,8 @@ CTES = {
       arg_min(output_section, member_pos) AS output_section, arg_min(severity, {_CRANK.format("severity")} * 100000 + member_pos) AS severity,
       arg_min(likelihood_rating, {_LRANK.format("likelihood_rating")} * 100000 + member_pos) AS likelihood_rating, count(*) > 1 AS is_merged,
       arg_min(ref_prefix, member_pos) AS first_ref_prefix,
-      arg_min({{'check_id': check_id, 'title': check_title}}, (5 - completeness_score) * 10000000 + {_CRANK.format("severity")} * 100000 + member_pos) AS rep
+      string_agg(member_key, ', ' ORDER BY member_pos) AS ids,
+      arg_min({{'check_id': check_id, 'title': check_title, 'id': finding_instance_id, 'lk': likelihood_rating}}, (5 - completeness_score) * 10000000 + {_CRANK.format("severity")} * 100000 + member_pos) AS rep
       FROM catt GROUP BY run_id, group_no, group_name""",
     "cenriched": f"""SELECT *, {_MATRIX.format(l="likelihood_rating", c="cr")} AS mr,
       row_number() OVER (PARTITION BY run_id, output_section ORDER BY {_CRANK.format("severity")}, group_name, group_no) AS ref_number FROM (

@@ -117,6 +117,18 @@ _APPROVAL_FILES = """SELECT run_id, dense_rank() OVER (PARTITION BY run_id ORDER
 
 
 OUTPUTS = {
+    "control_review": """SELECT run_id, group_no, group_name, CASE WHEN group_no % 2 = 0 THEN 'Fix together' WHEN group_no % 3 = 0 THEN 'Note ' || group_no ELSE '' END AS rationale,
+        output_section, severity, likelihood_rating, instance_count, member_count, is_merged, CASE group_no % 4 WHEN 1 THEN 'Low' WHEN 3 THEN 'High' END AS risk_override FROM cmerged""",
+    "control_review_audit": """SELECT run_id, rep.id AS finding_instance_id, 3::BIGINT AS stage_no, 0::BIGINT AS seq, 'review' AS stage, 'semantic_group' AS field, ids AS old_value,
+        group_name AS new_value, 'Group as approved in review' || CASE WHEN group_no % 3 = 0 THEN ': Note ' || group_no ELSE '' END AS reason, 'human' AS actor FROM cmerged
+      UNION ALL SELECT run_id, rep.id, 3, 1, 'review', 'likelihood_rating', rep.lk, likelihood_rating, 'Highest likelihood across merged group: ' || ids, 'pipeline' FROM cmerged
+      UNION ALL SELECT run_id, rep.id, 3, 2, 'review', 'risk_rating', NULL, CASE group_no % 4 WHEN 1 THEN 'Low' ELSE 'High' END, 'Rating set in review', 'human' FROM cmerged WHERE group_no % 4 IN (1, 3)
+      UNION ALL SELECT run_id, '', 3, 9, 'review', 'UNKNOWN_CHECK_ID', 'ghost_' || group_no, NULL,
+        'Approved group ''' || group_name || ''' references unknown check_id ''ghost_' || group_no || '''. Skipped.', 'pipeline' FROM cmerged WHERE group_no % 3 = 0""",
+    "control_defaults": "SELECT run_id, row_no, 'azure' AS provider, 'global' AS region, NULL AS raw_comments, crit AS criticality_raw, service_prefix, ref_prefix FROM crow",
+    "control_validate": """SELECT run_id, group_order, CASE group_order % 6 WHEN 1 THEN 'missing field ''recommendations''' WHEN 2 THEN 'field ''recommendations'' is null'
+        WHEN 3 THEN 'consequence_rating=''major'' must be one of: [''Minor'', ''Moderate'', ''Major'']' WHEN 4 THEN 'needs_human_review must be boolean true/false, got: 1'
+        WHEN 5 THEN 'no valid JSON object in response' ELSE '' END AS errors FROM cgrp""",
     "rule_versions": _RULED,
     "answer_faults": _FAULTS,
     "mixed_scan": f"""SELECT 'a|"b;"c,"d ' || coalesce(raw_check_title, 'none') || ' é' AS raw_check_title, {_SCANNED} FROM raw""",
