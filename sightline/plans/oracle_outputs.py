@@ -127,7 +127,7 @@ OUTPUTS = {
         'Approved group ''' || group_name || ''' references unknown check_id ''ghost_' || group_no || '''. Skipped.', 'pipeline' FROM cmerged WHERE group_no % 3 = 0""",
     "control_defaults": "SELECT run_id, row_no, 'azure' AS provider, 'global' AS region, NULL AS raw_comments, crit AS criticality_raw, service_prefix, ref_prefix FROM crow",
     "control_validate": """SELECT run_id, group_order, CASE group_order % 6 WHEN 1 THEN 'missing field ''recommendations''' WHEN 2 THEN 'field ''recommendations'' is null'
-        WHEN 3 THEN 'consequence_rating=''major'' must be one of: [''Minor'', ''Moderate'', ''Major'']' WHEN 4 THEN 'needs_human_review must be boolean true/false, got: 1'
+        WHEN 3 THEN 'consequence_rating=''major'' must be one of: [''Major'', ''Minor'', ''Moderate'']' WHEN 4 THEN 'needs_human_review must be boolean true/false, got: 1'
         WHEN 5 THEN 'no valid JSON object in response' ELSE '' END AS errors FROM cgrp""",
     "rule_versions": _RULED,
     "answer_faults": _FAULTS,
