@@ -14,7 +14,7 @@ from sightline.llm.langid import identify
 from sightline.llm.queries import BYTE_BPE, fifth
 from sightline.llm.simhash import drop_near_duplicates
 from sightline.llm.substring_dedup import remove_repeated_passages
-from sightline.session import materialise
+from sightline.session import delete_path, materialise, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -69,8 +69,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents; what a stage keeps is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to the documents.
+
+    What a stage keeps is written and read again; once the next stage is written, nothing reads it any more and it
+    is deleted, so at most two generations of the texts are on disk.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        kept, path = stage(spark, docs, sf_dir), scratch_path(spark, name)
+        kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
