@@ -1,12 +1,13 @@
 """Control findings: normalise, filter, mark duplicates, group, number."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import controls as fn
 from sightline.functions.findings import completeness, instance_id
 from sightline.functions.text import instance_count, quoted_list, strip_html, text_or
 from sightline.operators.grouping import section_rank
+from sightline.operators.numbering import rank_rows
 from sightline.rules import CONTROL_SEVERITY_RANK, Rules, severity_rank
 from sightline.schemas import CONTROL_FIELDS, EXCLUDED, INCLUDED
 from sightline.session import materialise
@@ -138,23 +139,25 @@ def control_duplicate_warnings(processed: DataFrame) -> DataFrame:
 def control_groups(processed: DataFrame) -> DataFrame:
     """One group per included control, in report order, numbered per section.
 
-    After duplicate marking a run holds each control of a tenant once, so the
-    windows run over the control catalogue, not over scan rows.
+    After duplicate marking a run holds each control of a tenant once; over many tenants that may be very many
+    rows.  Ranks are worked out on narrow rows dealt out by ranges, never in one window over a run.
     """
     active = processed.filter((F.col("report_inclusion") == INCLUDED) & ~F.col("is_duplicate"))
-    severity = severity_rank(F.col("severity"), CONTROL_SEVERITY_RANK, "low")
-    run = Window.partitionBy("run_id").orderBy(section_rank(F.col("output_section")), severity, "control_id", "row_seq")
-    section = Window.partitionBy("run_id", "output_section").orderBy(severity, "control_id", "row_seq")
-    several = F.count(F.lit(1)).over(Window.partitionBy("run_id", "control_id"))
+    narrow = active.select(
+        "run_id", "row_seq", "control_id", "output_section", section_rank(F.col("output_section")).alias("_section"),
+        severity_rank(F.col("severity"), CONTROL_SEVERITY_RANK, "low").alias("_severity"),
+    )
+    ranked = rank_rows(narrow, ["run_id"], ["_section", "_severity", "control_id", "row_seq"], "group_order")
+    ranked = rank_rows(ranked, ["run_id", "output_section"], ["_severity", "control_id", "row_seq"], "ref_number")
+    several = narrow.groupBy("run_id", "control_id").agg(F.count(F.lit(1)).alias("_tenants"))
+    places = ranked.join(several, ["run_id", "control_id"]).select("run_id", "row_seq", "group_order", "ref_number", "_tenants")
     tenant_key = F.concat_ws(":", "control_id", "tenant_id")
-    groups = active.withColumns({
+    groups = active.join(places, ["run_id", "row_seq"]).withColumns({
         "check_id": F.col("control_id"),
         "output_group_key": tenant_key,
         # A run over several tenants holds a control once per tenant.
-        "member_key": F.when(several == 1, F.col("control_id")).otherwise(tenant_key),
-        "group_order": F.row_number().over(run),
-        "ref_number": F.row_number().over(section),
-    })
+        "member_key": F.when(F.col("_tenants") == 1, F.col("control_id")).otherwise(tenant_key),
+    }).drop("_tenants")
     return groups.withColumn("ref_label", fn.ref_label(F.col("ref_prefix"), F.col("ref_number")))
 
 

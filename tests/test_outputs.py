@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import responses
 from sightline.operators import exports, grouping, rule_sets, summaries
+from sightline.operators.numbering import rank_rows
 from sightline.plans.catalog import QUERIES
 from sightline.plans.oracle import oracle_queries
 from sightline.schemas import AUDIT
@@ -149,3 +150,19 @@ def test_rules_hold_from_their_date(spark):
                                  ("*", None, "risk_matrix", "High_Major", "High"), ("*", None, "risk_matrix", "Major_High", "High")],
                                 "client string, valid_from date, rule string, rule_key string, rule_value string")
     assert sorted((r.rule, r.rule_key) for r in rule_sets.invalid_rules(odd).collect()) == [("include_status", "UNKNOWN"), ("risk_matrix", "Major_High"), ("severity", "x"), ("unheard", "a")]
+
+
+def test_ranks_over_many_parts(spark):
+    """Ranks of any order columns, with one key that holds most rows, over more parts than cores."""
+    rows = spark.range(4000).selectExpr("IF(id % 10 < 8, 'hot', concat('k', id % 7)) AS run_id", "id % 5 AS a", "cast(hash(id) AS string) AS b", "id")
+    rows = rows.unionByName(spark.createDataFrame([(None, 1, None, -1), ("hot", None, "z", -2)], "run_id string, a long, b string, id long"))
+    spark.conf.set("spark.sql.shuffle.partitions", 37)
+    try:
+        got = {r.id: r.place for r in rank_rows(rows.filter("run_id IS NOT NULL"), ["run_id"], ["a", "b"], "place").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    held = {}
+    for r in rows.collect():
+        if r.run_id is not None:
+            held.setdefault(r.run_id, []).append((r.a is not None, r.a or 0, r.b is not None, r.b or "", r.id))
+    assert got == {x[-1]: k + 1 for group in held.values() for k, x in enumerate(sorted(group))}
