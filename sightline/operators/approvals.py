@@ -10,6 +10,8 @@ from sightline.rules import CONTROL_SEVERITY_RANK, severity_rank
 
 UNASSIGNED = "__unassigned__"
 SPLIT = "split:"
+#: Fixed values of review boards: the name of a new group, and the rationale of one that was split off.
+NEW_GROUP, SPLIT_FROM = "New Group — rename me", "Split from: "
 
 
 _REPLAYED = (
@@ -54,7 +56,7 @@ def _replay(board: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame:
         if e.op == "reset":
             boxes, place = proposed()
         elif e.op == "new":
-            boxes[e.edit_group] = [value or "New Group — rename me", "", None]
+            boxes[e.edit_group] = [value or NEW_GROUP, "", None]
         elif e.op == "move":
             if e.check_id in place and (e.edit_group in boxes or e.edit_group == UNASSIGNED):
                 place[e.check_id] = (e.edit_group, e.seq)
@@ -69,7 +71,7 @@ def _replay(board: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame:
                 own = SPLIT + k
                 place[k] = (UNASSIGNED if e.op == "delete" else own, place[k][1])
                 if e.op == "split":
-                    boxes[own] = [title[k], f"Split from: {name}", None]
+                    boxes[own] = [title[k], f"{SPLIT_FROM}{name}", None]
         elif e.op == "rename":
             boxes[e.edit_group][0] = (value or "").strip() or boxes[e.edit_group][0]
         elif e.op == "rationale":

@@ -22,6 +22,7 @@ def finding_audit(processed: DataFrame) -> DataFrame:
     filtered_out = (F.col("report_inclusion") != INCLUDED) & ~F.col("is_duplicate")
     kept = (F.col("report_inclusion") == INCLUDED) & ~F.col("is_duplicate")
     shown = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    # the reasons are fixed values: readers of the audit look for them
     events = F.array_compact(F.array(
         _event(
             F.col("muted_reconciled"), 0, 1, "ingest", "scanner_status", F.col("raw_status"),

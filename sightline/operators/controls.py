@@ -74,6 +74,7 @@ def normalise_controls(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def control_filter(controls: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Mark controls INCLUDED or EXCLUDED; a blank control id is excluded first."""
     crit = F.col("criticality_raw")
+    # fixed values: readers of the canonical findings look for these reasons
     reason = (
         F.when(F.col("control_id") == "", "Control ID blank — excluded from report")
         .when(F.col("scanner_status") == "PASS", "Status=PASS — passing controls excluded from report")

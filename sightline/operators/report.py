@@ -15,6 +15,8 @@ REPORT_COLUMNS = [
     "ref", "finding", "risk_rating", "root_cause", "likelihood", "consequence_rating",
     "access_required", "situation", "consequence", "recommendations",
 ]
+#: Fixed values of report cells: the heading of the resource list, and what stands for a missing remediation.
+RESOURCE_HEADING, NO_REMEDIATION = "Affected resources:", "[See vendor documentation]"
 #: Lines of a row of the resource text table, which bounds a cell.
 LINES_PER_PART = 1000
 
@@ -63,7 +65,7 @@ def resource_text(lines: DataFrame, lines_per_part: int = LINES_PER_PART) -> Dat
         lines.select("run_id", "group_no", "pos", bullet.alias("bullet"), part.alias("part_no"))
         .groupBy("run_id", "group_no", "part_no").agg(body.alias("body"))
         .select("run_id", "group_no", "part_no", F.when(
-            F.col("part_no") == 0, F.concat(F.lit("Affected resources:\n"), "body")
+            F.col("part_no") == 0, F.concat(F.lit(f"{RESOURCE_HEADING}\n"), "body")
         ).otherwise(F.col("body")).alias("resource_text"))
     )
 
@@ -93,7 +95,7 @@ def recommendation_text(members: DataFrame, groups: DataFrame) -> DataFrame:
     cli, tf = cell("raw_remediation_code_cli"), cell("raw_remediation_code_terraform")
     tail = lambda label, c: F.when(c != "", F.concat(F.lit(f"\n  {label}: "), c)).otherwise("")
     in_list = F.concat(
-        title, F.lit(":\n"), F.when(fix != "", fix).otherwise("[See vendor documentation]"),
+        title, F.lit(":\n"), F.when(fix != "", fix).otherwise(NO_REMEDIATION),
         tail("CLI", cli), tail("Terraform", tf),
     )
     alone = F.array_join(F.filter(F.array(

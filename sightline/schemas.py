@@ -3,18 +3,15 @@
 from pyspark.sql import types as T
 
 # --- fixed values: the 41 columns of a resource-findings export -------------
-RESOURCE_COLUMNS = (
-    "AUTH_METHOD TIMESTAMP ACCOUNT_UID ACCOUNT_NAME ACCOUNT_EMAIL "
-    "ACCOUNT_ORGANIZATION_UID ACCOUNT_ORGANIZATION_NAME ACCOUNT_TAGS "
-    "FINDING_UID PROVIDER CHECK_ID CHECK_TITLE CHECK_TYPE STATUS "
-    "STATUS_EXTENDED MUTED SERVICE_NAME SUBSERVICE_NAME SEVERITY "
-    "RESOURCE_TYPE RESOURCE_UID RESOURCE_NAME RESOURCE_DETAILS RESOURCE_TAGS "
-    "PARTITION REGION DESCRIPTION RISK RELATED_URL "
-    "REMEDIATION_RECOMMENDATION_TEXT REMEDIATION_RECOMMENDATION_URL "
-    "REMEDIATION_CODE_NATIVEIAC REMEDIATION_CODE_TERRAFORM "
-    "REMEDIATION_CODE_CLI REMEDIATION_CODE_OTHER COMPLIANCE CATEGORIES "
-    "DEPENDS_ON RELATED_TO NOTES PROWLER_VERSION"
-).split()
+RESOURCE_COLUMNS = [
+    "AUTH_METHOD", "TIMESTAMP", "ACCOUNT_UID", "ACCOUNT_NAME", "ACCOUNT_EMAIL", "ACCOUNT_ORGANIZATION_UID",
+    "ACCOUNT_ORGANIZATION_NAME", "ACCOUNT_TAGS", "FINDING_UID", "PROVIDER", "CHECK_ID", "CHECK_TITLE", "CHECK_TYPE",
+    "STATUS", "STATUS_EXTENDED", "MUTED", "SERVICE_NAME", "SUBSERVICE_NAME", "SEVERITY", "RESOURCE_TYPE",
+    "RESOURCE_UID", "RESOURCE_NAME", "RESOURCE_DETAILS", "RESOURCE_TAGS", "PARTITION", "REGION", "DESCRIPTION",
+    "RISK", "RELATED_URL", "REMEDIATION_RECOMMENDATION_TEXT", "REMEDIATION_RECOMMENDATION_URL",
+    "REMEDIATION_CODE_NATIVEIAC", "REMEDIATION_CODE_TERRAFORM", "REMEDIATION_CODE_CLI", "REMEDIATION_CODE_OTHER",
+    "COMPLIANCE", "CATEGORIES", "DEPENDS_ON", "RELATED_TO", "NOTES", "PROWLER_VERSION",
+]
 
 # --- fixed values: names used by older exports -> current names -------------
 COLUMN_ALIASES = {

@@ -38,10 +38,12 @@ _ROWS = [
     (OLD, "s3_bucket_default_encryption", "FAIL", "False", "s3", "medium", "arn:aws:s3:::legacy-archive", None, US, "000", None),
 ]
 
-COLUMNS = (
-    "ACCOUNT_UID ACCOUNT_NAME CHECK_ID CHECK_TITLE STATUS MUTED SERVICE_NAME SEVERITY RESOURCE_UID RESOURCE_NAME REGION "
-    "DESCRIPTION RISK REMEDIATION_RECOMMENDATION_TEXT CATEGORIES PROVIDER PROWLER_VERSION FUTURE_COLUMN"
-).split()
+# Column names of an export.
+COLUMNS = [
+    "ACCOUNT_UID", "ACCOUNT_NAME", "CHECK_ID", "CHECK_TITLE", "STATUS", "MUTED", "SERVICE_NAME", "SEVERITY",
+    "RESOURCE_UID", "RESOURCE_NAME", "REGION", "DESCRIPTION", "RISK", "REMEDIATION_RECOMMENDATION_TEXT",
+    "CATEGORIES", "PROVIDER", "PROWLER_VERSION", "FUTURE_COLUMN",
+]
 
 
 def export_rows():
