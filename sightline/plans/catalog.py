@@ -1311,3 +1311,35 @@ def control_validate(t):
     answer = F.when(n == 5, F.concat(F.lit("["), body, F.lit("]"))).otherwise(F.concat(F.lit("So: "), body))
     errors = responses.enrichment_errors(F.try_parse_json(responses.json_object(answer)), True)
     return t.control_groups().select("run_id", "group_order", F.array_join(errors, "; ").alias("errors"))
+
+
+def _board_answer(prompt: str, max_tokens: int, timeout_seconds: int) -> str:
+    """Offline answer to a board instruction: mark all groups, split one, or lose a check."""
+    import json
+    import re
+
+    groups = [(name, ids.split(", ")) for name, ids in re.findall(r'^"(.*?)": (.*)$', prompt, re.M)]
+    loose = re.findall(r"^Unassigned: (.*)$", prompt, re.M)
+    target = re.search(r'^The instruction is about this group only: "(.*?)": ', prompt, re.M)
+    if "\nInstruction: lose" in prompt:
+        out = [("all", [i for _, ids in groups for i in ids][1:])]
+    elif target:
+        out = [g for g in groups if g[0] != target[1]] + [(i, [i]) for name, ids in groups if name == target[1] for i in ids]
+    else:
+        out = [(f"{name}!", ids) for name, ids in groups] + [("Loose", ids.split(", ")) for ids in loose]
+    return json.dumps([{"group_name": n, "check_ids": ids} for n, ids in out])
+
+
+@query
+def regroup_members(t):
+    """Members after a board-wide instruction with unassigned checks, one about a single group, and one that fails twice."""
+    loose = (F.col("group_no") % 3 == 0) & (F.col("pos") > 1)
+    held, pool = t.members().filter(~loose), t.members().filter(loose).select("run_id", "member_key")
+    first = held.filter("group_no = 1 AND pos = 1").select("run_id", "group_name")
+    ask = F.explode(F.array(*[F.struct(F.lit(k).alias("seq"), F.lit(text).alias("instruction")) for k, text in ((1, "mark"), (2, "split"), (3, "lose"))]))
+    asks = first.select("run_id", "group_name", ask.alias("a")).select(
+        "run_id", "a.seq", "a.instruction", F.when(F.col("a.seq") == 2, F.col("group_name")).alias("target_group")
+    )
+    found = propose.regroup(asks, held, pool, _board_answer, MODEL)
+    groups = found.select("run_id", "seq", "ok", "error", F.explode_outer("groups").alias("g"))
+    return groups.select("run_id", "seq", "ok", "error", F.col("g.group_name").alias("group_name"), F.explode_outer("g.check_ids").alias("member_key"))

@@ -129,6 +129,10 @@ OUTPUTS = {
     "control_validate": """SELECT run_id, group_order, CASE group_order % 6 WHEN 1 THEN 'missing field ''recommendations''' WHEN 2 THEN 'field ''recommendations'' is null'
         WHEN 3 THEN 'consequence_rating=''major'' must be one of: [''Major'', ''Minor'', ''Moderate'']' WHEN 4 THEN 'needs_human_review must be boolean true/false, got: 1'
         WHEN 5 THEN 'no valid JSON object in response' ELSE '' END AS errors FROM cgrp""",
+    "regroup_members": """SELECT run_id, 1::BIGINT AS seq, true AS ok, NULL::VARCHAR AS error, CASE WHEN group_no % 3 = 0 AND pos > 1 THEN 'Loose' ELSE group_name || '!' END AS group_name, member_key FROM members
+      UNION ALL SELECT run_id, 2, true, NULL, CASE WHEN group_no = 1 THEN member_key ELSE group_name END, member_key FROM members WHERE group_no % 3 <> 0 OR pos = 1
+      UNION ALL SELECT run_id, 3, false, 'Missing check_ids: ' || string_agg(member_key, ', ' ORDER BY member_key), NULL, NULL FROM members
+        WHERE (group_no = 1 AND pos = 1) OR (group_no % 3 = 0 AND pos > 1) GROUP BY run_id""",
     "rule_versions": _RULED,
     "answer_faults": _FAULTS,
     "mixed_scan": f"""SELECT 'a|"b;"c,"d ' || coalesce(raw_check_title, 'none') || ' é' AS raw_check_title, {_SCANNED} FROM raw""",

@@ -20,6 +20,7 @@ from tests.test_stages import SF, needs_tables
     "ingest_report", "process_report", "audit_trail", "control_run_summary", "enriched_groups", "grouping_proposal",
     "approval_versions", "review_cards", "review_lookup", "rule_versions", "answer_faults", "mixed_scan", "file_report",
     "scan_fingerprints", "control_scan", "approval_files", "control_review", "control_review_audit", "control_defaults", "control_validate",
+    "regroup_members",
 ])
 def test_query_equals_sql(spark, name):
     assert difference(QUERIES[name](spark, SF), duck(SF), oracle_queries()[name]) is None
