@@ -17,7 +17,7 @@ from sightline.session import materialise
 WIDTH = 13
 #: Template tokens other than placeholders that a benchmark window needs to match with other values, out of ``WIDTH``.
 MIN_LITERALS = 8
-#: Benchmark items with fewer tokens cannot be told from common phrases.
+#: Benchmark items with fewer tokens are not looked for, unless the caller asks for them: they cannot be told from common phrases.
 MIN_ITEM_TOKENS = 5
 #: Benchmark windows up to this number (about 50 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
@@ -40,8 +40,9 @@ _MARK = "\ue000"  # private-use character before a name
 def marked_text(text: Column) -> Column:
     """The text with single spaces, without punctuation, and a mark before each name: a word that starts
     with a capital but not a sentence."""
-    text = F.regexp_replace(F.regexp_replace(text, _MARK, ""), r"[\x20\x09-\x0D]+", " ")
-    text = F.regexp_replace(text, r"(?<=[^.!?: ] )(?=\p{Lu})", _MARK)
+    # only white space other than a single space is replaced
+    text = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*+|\x20[\x20\x09-\x0D]++", " ")
+    text = F.regexp_replace(text, r"([^.!?: ] )(?=\p{Lu})", f"$1{_MARK}")
     return F.regexp_replace(text, rf"[^\p{{L}}\p{{M}}\p{{N}}{_MARK} ]++", "")
 
 
@@ -51,16 +52,18 @@ def _tokens(text: Column) -> Column:
 
 def _words(marked: Column) -> Column:
     """The folded words of a marked text, as many as its template has tokens."""
-    return _tokens(F.lower(F.regexp_replace(marked, _MARK, "")))
+    return _tokens(F.lower(F.replace(marked, F.lit(_MARK), F.lit(""))))
 
 
-def template_text(marked: Column) -> Column:
-    """A marked text with placeholders; it has the same number of tokens."""
-    text = F.regexp_replace(marked, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", NUMBER)
-    text = F.regexp_replace(text, rf"{_MARK}[^ ]++", NAME)
-    text = F.lower(text)
-    text = F.regexp_replace(text, rf"(?<![^ ])(?:{'|'.join(NUMBER_WORDS)})(?![^ ])", NUMBER)
-    return F.regexp_replace(text, rf"(?<![^ ])(?:{'|'.join(UNITS)})(?![^ ])", UNIT)
+def template_tokens(marked: Column) -> Column:
+    """The tokens of a marked text with placeholders; they are as many as its words."""
+    def token(t: Column, word: Column) -> Column:
+        return (
+            F.when(t.rlike("[0-9]"), NUMBER).when(t.startswith(_MARK), NAME)
+            .when(word.isin(*NUMBER_WORDS), NUMBER).when(word.isin(*UNITS), UNIT).otherwise(word)
+        )
+
+    return F.zip_with(_tokens(marked), _words(marked), token)
 
 
 def windows(tokens: Column, width: int) -> Column:
@@ -77,15 +80,17 @@ def _is_slot(token: Column) -> Column:
     return token.startswith("⟨")
 
 
-def benchmark_windows(benchmark: DataFrame, id_column: str, text_column: str, width: int, min_literals: int) -> DataFrame:
+def benchmark_windows(
+    benchmark: DataFrame, id_column: str, text_column: str, width: int, min_literals: int, min_item_tokens: int = MIN_ITEM_TOKENS,
+) -> DataFrame:
     """(h, v, enough, width, item_id, item_at, template, raw, item_windows) of the benchmark; short items are one window.
 
     ``h`` and ``v`` are the hashes of the template and of the words, ``enough`` says that the template has
     ``min_literals``.
     """
     items = benchmark.select(F.col(id_column).alias("item_id"), marked_text(F.col(text_column)).alias("marked"))
-    items = items.select("item_id", _words(F.col("marked")).alias("raw"), _tokens(template_text(F.col("marked"))).alias("template"))
-    items = items.where(F.size("template") >= MIN_ITEM_TOKENS).withColumn("width", F.least(F.size("template"), F.lit(width)))
+    items = items.select("item_id", _words(F.col("marked")).alias("raw"), template_tokens(F.col("marked")).alias("template"))
+    items = items.where(F.size("template") >= max(1, min_item_tokens)).withColumn("width", F.least(F.size("template"), F.lit(width)))
     placed = items.select("*", F.explode(F.sequence(F.lit(1), F.size("template") - F.col("width") + 1)).alias("item_at"))
     cut = placed.select(
         "item_id", "item_at", "width", F.slice("template", F.col("item_at"), F.col("width")).alias("template"),
@@ -99,7 +104,7 @@ def benchmark_windows(benchmark: DataFrame, id_column: str, text_column: str, wi
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
     item_text_column: str = "text", width: int = WIDTH, min_literals: int = MIN_LITERALS, broadcast_windows: int = BROADCAST_WINDOWS,
-    partial_copies: bool = False,
+    partial_copies: bool = False, min_item_tokens: int = MIN_ITEM_TOKENS,
 ) -> DataFrame:
     """(id, item_id, n_windows, n_exact, item_windows, occurrences, reparameterised): each benchmark item a document holds.
 
@@ -108,10 +113,11 @@ def contaminated(
     word; only these are counted.
     ``n_windows`` and ``n_exact`` count the windows of the fullest occurrence, all and those with the item's
     own values; ``reparameterised`` says that no occurrence has the item's own values throughout.  Null texts
-    hold nothing.  Items of fewer tokens than ``width`` are one window, items under five tokens are ignored.
+    hold nothing.  Items of fewer tokens than ``width`` are one window, items under
+    ``min_item_tokens`` are ignored.
     Rows that share an id count as one document, so do rows without id.  Other columns are ignored.
     """
-    items = materialise(benchmark_windows(benchmark, item_column, item_text_column, width, min_literals), "benchmark_windows")
+    items = materialise(benchmark_windows(benchmark, item_column, item_text_column, width, min_literals, min_item_tokens), "benchmark_windows")
     small = items.count() <= broadcast_windows
     widths = [r.width for r in items.select("width").distinct().collect()] or [width]  # at most ``width`` values
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text IS NOT NULL")
@@ -120,7 +126,7 @@ def contaminated(
         return F.broadcast(frame) if small else frame
 
     marked = texts.select("id", marked_text(F.col("text")).alias("marked"))
-    hashes = marked.select("id", _hashes(_tokens(template_text(F.col("marked")))).alias("h"), _hashes(_words(F.col("marked"))).alias("v"))
+    hashes = marked.select("id", _hashes(template_tokens(F.col("marked"))).alias("h"), _hashes(_words(F.col("marked"))).alias("v"))
     suspects = None
     for w in widths:
         own = items.where(F.col("width") == w)
@@ -132,7 +138,7 @@ def contaminated(
 
     # only suspects are read again, to compare tokens and slots
     again = texts.join(suspects, F.col("id").eqNullSafe(F.col("suspect")), "left_semi").select("id", marked_text(F.col("text")).alias("marked"))
-    tokens = again.select("id", _words(F.col("marked")).alias("raw"), _tokens(template_text(F.col("marked"))).alias("template"))
+    tokens = again.select("id", _words(F.col("marked")).alias("raw"), template_tokens(F.col("marked")).alias("template"))
     # hashes are columns, as an expression inside windows() would be evaluated at every place
     tokens = materialise(tokens.select("*", _hashes(F.col("template")).alias("h"), _hashes(F.col("raw")).alias("v")), "suspect_tokens")
     matches = None

@@ -1,9 +1,11 @@
 """Benchmark decontamination against brute force and on re-parameterised questions."""
 
 import random
+import re
 
 import pytest
 
+from sightline.llm import decontaminate as D
 from sightline.llm.decontaminate import contaminated
 
 SCHEMA = "doc_id long, text string, item_id string"
@@ -75,3 +77,73 @@ def test_copied_windows_count_whatever_their_values(spark, options):
     changed = tokens.index("12")
     copied = sum(not k <= changed < k + 13 for k in range(len(tokens) - 12))
     assert got[1, 100].n_windows == got[1, 100].n_exact == copied > 0 and not got[1, 100].reparameterised
+
+
+def plain_tokens(text):
+    """(words, template) of a text of ASCII letters, digits and punctuation."""
+    text = re.sub(r"[ \t\n]+", " ", text)
+    text = re.sub(r"(?<=[^.!?: ] )(?=[A-Z])", "\ue000", text)
+    words, template = [], []
+    for token in re.sub("[^A-Za-z0-9\ue000 ]", "", text).split(" "):
+        if token:
+            word = token.replace("\ue000", "").lower()
+            words.append(word)
+            slot = (
+                "number" if re.search("[0-9]", token) or (not token.startswith("\ue000") and word in D.NUMBER_WORDS)
+                else "name" if token.startswith("\ue000") else "unit" if word in D.UNITS else None
+            )
+            template.append(("slot", slot) if slot else word)
+    return words, template
+
+
+def plain_matches(docs, items, width, min_literals, partial, min_tokens):
+    """Every alignment of every document and item, window by window."""
+    for doc_id, text in docs:
+        words, template = plain_tokens(text)
+        for item_id, item_text in items:
+            raw, shape = plain_tokens(item_text)
+            w = min(width, len(raw))
+            if len(raw) < min_tokens:
+                continue
+            found = []
+            for shift in range(-len(raw), len(words)):
+                n = exact = 0
+                values = set()
+                for k in range(len(raw) - w + 1):
+                    at = k + shift
+                    if at < 0 or at + w > len(words):
+                        continue
+                    enough = sum(not isinstance(t, tuple) for t in shape[k : k + w]) * width >= w * min_literals
+                    copy = words[at : at + w] == raw[k : k + w]
+                    if copy or (enough and template[at : at + w] == shape[k : k + w]):
+                        n, exact = n + 1, exact + copy
+                        if enough:
+                            values |= {(t, raw[k + j], words[at + j]) for j, t in enumerate(shape[k : k + w]) if isinstance(t, tuple)}
+                agrees = len({v[:2] for v in values}) == len(values)
+                if n and (agrees or (partial and exact)):
+                    found.append((n if agrees else exact, exact))
+            if found:
+                yield doc_id, item_id, max(n for n, _ in found), max(e for _, e in found), len(raw) - w + 1, len(found), all(e < n for n, e in found)
+
+
+@pytest.mark.parametrize("partial", [False, True])
+def test_random_texts_like_brute_force(spark, partial):
+    rng = random.Random(21)
+    vocabulary = "the of a cat sat mat Anna Bob Carl 3 17 five km kg days runs and.".split()
+    draw = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, draw(rng.randrange(2, 14))) for k in range(25)]
+    docs = []
+    for k in range(80):
+        text = rng.choice(items)[1].split()
+        if rng.random() < 0.7:  # the same question with other values, here and there
+            swap = {"Anna": "Dora", "3": "44", "five": "seven", "km": "kg", "17": "3"}
+            text = [swap.get(t, t) if rng.random() < 0.6 else t for t in text]
+        docs.append((k, f"{draw(rng.randrange(8))} {' '.join(text)} {draw(rng.randrange(8))}"))
+    found = contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=5, min_literals=3,
+        partial_copies=partial, min_item_tokens=3,
+    )
+    columns = ("doc_id", "item_id", "n_windows", "n_exact", "item_windows", "occurrences", "reparameterised")
+    got = sorted(tuple(r[c] for c in columns) for r in found.collect())
+    assert got == sorted(plain_matches(docs, items, 5, 3, partial, 3))
+    assert any(r[-1] for r in got) and not all(r[-1] for r in got)
