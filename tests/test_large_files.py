@@ -52,3 +52,16 @@ def test_fingerprints_are_those_of_the_bytes(spark, tmp_path):
     found = {r.source_file: r.source_file_hash for r in src.fingerprints(spark, str(tmp_path)).collect()}
     want = {r.path: r.h for r in spark.read.format("binaryFile").load(str(tmp_path)).select("path", F.sha2("content", 256).alias("h")).collect()}
     assert found == want and len(want) == len(texts)  # Spark lists no file without bytes
+
+
+def test_findings_read_again_are_not_joined_again(spark):
+    """Each reading of the findings shuffled all line items to their orders; they are now joined once and written."""
+    from sightline.plans.catalog import Tables
+    from tests.test_stages import SF
+
+    t = Tables(spark, SF)
+    assert t.stored().exceptAll(t.raw()).isEmpty() and t.raw().exceptAll(t.stored()).isEmpty()
+    read = " ".join(t.working().inputFiles())
+    assert "findings-base" in read and "orders.parquet" not in read and "lineitem.parquet" not in read
+    joined = t.processed().filter("report_inclusion = 'EXCLUDED' AND NOT is_duplicate").count()
+    assert joined == t.filtered().filter("report_inclusion = 'EXCLUDED'").count()
