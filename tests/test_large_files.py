@@ -65,3 +65,18 @@ def test_findings_read_again_are_not_joined_again(spark):
     assert "findings-base" in read and "orders.parquet" not in read and "lineitem.parquet" not in read
     joined = t.processed().filter("report_inclusion = 'EXCLUDED' AND NOT is_duplicate").count()
     assert joined == t.filtered().filter("report_inclusion = 'EXCLUDED'").count()
+
+
+def test_duplicates_are_joined_once(spark):
+    """Each reading of processed findings joined its wide rows to the keys of duplicates, by a shuffle once these are many."""
+    from sightline.operators import process
+    from sightline.plans.catalog import Tables
+    from tests.test_stages import SF
+
+    t = Tables(spark, SF)
+    read = " ".join(t.processed().inputFiles())
+    assert "findings-base-marked" in read and "duplicate-keys" not in read and "part.parquet" not in read
+    names = ["row_seq", "report_inclusion", "exclusion_reason", "is_duplicate", "duplicate_of", "raw_check_id", "dedup_key"]
+    again = process.mark_duplicates(t.filtered(), t.duplicate_keys()).select(names)
+    found = t.processed().select(names)
+    assert found.exceptAll(again).isEmpty() and again.exceptAll(found).isEmpty()
