@@ -54,6 +54,32 @@ def test_fingerprints_are_those_of_the_bytes(spark, tmp_path):
     assert found == want and len(want) == len(texts)  # Spark lists no file without bytes
 
 
+def test_small_files_share_a_task(spark, tmp_path):
+    """Each file had a task, and an output file, of its own; the longest file stays whole."""
+    from pathlib import Path
+
+    from sightline.session import shared_root
+
+    for i in range(60):
+        (tmp_path / f"{i}.csv").write_text("a,b\n" * (400_000 if i == 7 else i + 1))
+    folder = Path(shared_root(spark)) / "sightline"
+    before = set(folder.glob("digests-*"))
+    found = {r.source_file_hash for r in src.fingerprints(spark, str(tmp_path)).collect()}
+    assert found == {hashlib.sha256(f.read_bytes()).hexdigest() for f in tmp_path.glob("*.csv")}
+    (made,) = set(folder.glob("digests-*")) - before
+    assert len(list(made.glob("part-*.parquet"))) < 60
+
+
+def test_layouts_read_the_joined_findings(spark):
+    """Every layout joined all line items to their orders and parts again."""
+    from sightline.plans import catalog
+    from tests.test_stages import SF
+
+    t = catalog.Tables(spark, SF)
+    catalog._layouts(t)
+    assert "base" in t._kept and "raw" not in t._kept
+
+
 def test_findings_read_again_are_not_joined_again(spark):
     """Each reading of the findings shuffled all line items to their orders; they are now joined once and written."""
     from sightline.plans.catalog import Tables
