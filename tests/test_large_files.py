@@ -106,3 +106,28 @@ def test_duplicates_are_joined_once(spark):
     again = process.mark_duplicates(t.filtered(), t.duplicate_keys()).select(names)
     found = t.processed().select(names)
     assert found.exceptAll(again).isEmpty() and again.exceptAll(found).isEmpty()
+
+
+def test_duplicates_are_found_by_one_shuffle(spark):
+    """The rows were shuffled by two texts, and twice: once to find the keys of duplicates, once to join the rows to them."""
+    from sightline.plans.catalog import Tables
+    from tests.test_stages import SF
+
+    t = Tables(spark, SF)
+    t.processed()
+    assert "duplicate_keys" not in t._kept
+    base = t.base().schema
+    assert base["key"].dataType.typeName() == "binary" and not {"l_quantity", "l_returnflag", "o_orderpriority"} & set(base.names)
+    assert t.base().filter("length(key) <> 16").isEmpty()
+
+
+def test_first_rows_by_either_way(spark):
+    """Keys of one row, many rows, rows without key; and unlike runs whose texts run together."""
+    from sightline.operators import process
+
+    rows = [("r", "a", 5, "INCLUDED"), ("r", "a", 3, "INCLUDED"), ("r", "a", 1, "EXCLUDED"), ("r", "b", 2, "INCLUDED"), ("r", "", 7, "INCLUDED"),
+            ("r", "", 8, "INCLUDED"), ("ra", "", 9, "INCLUDED"), ("1", "2:x", 10, "INCLUDED"), ("12", ":x", 11, "INCLUDED"), (None, "a", 12, "INCLUDED"), (None, "a", 13, "INCLUDED")]
+    keyed = process.with_key(spark.createDataFrame(rows, "run_id string, dedup_key string, row_seq long, report_inclusion string"))
+    want = {seq: None for _, _, seq, _ in rows} | {3: 3, 5: 3}
+    for located in (process.locate_first_rows(keyed), process.with_first_rows(keyed, process.duplicate_keys(keyed))):
+        assert {r.row_seq: r.primary_seq for r in located.collect()} == want
