@@ -131,3 +131,11 @@ def test_first_rows_by_either_way(spark):
     want = {seq: None for _, _, seq, _ in rows} | {3: 3, 5: 3}
     for located in (process.locate_first_rows(keyed), process.with_first_rows(keyed, process.duplicate_keys(keyed))):
         assert {r.row_seq: r.primary_seq for r in located.collect()} == want
+
+
+def test_records_are_split_once(spark, tmp_path):
+    """The filter on empty rows split every record a second time, by another Python worker of the same task."""
+    (tmp_path / "a.csv").write_text(csv_text(3).replace("severity1", '"severity, 1"'))
+    rows = read_findings_csv(spark, str(tmp_path)).rows
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.raw_severity for r in rows.collect()} == {"severity0", "severity, 1", "severity2"}
