@@ -1,5 +1,7 @@
 """Nested exports: enriched groups with their resources in pages, proposals, review boards."""
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from sightline.session import materialise_bucketed
 
 #: Resources and accounts that a page of a group holds at most.
 PAGE = 1000
+#: Buckets of the written pages: this many, and more where a bucket would hold more findings than this.
+BUCKETS, BUCKET_ROWS = 32, 500_000
 PAGE_KEYS = ["run_id", "group_no", "page_no"]
 _DETAIL = ("resource_uid", "resource_name", "account_uid", "account_name", "region", "resource_type", "status_extended")
 
@@ -42,13 +46,17 @@ def group_pages(detail: DataFrame, accounts: DataFrame, size: int = PAGE) -> Dat
 
 
 def enriched_groups(
-    enriched: DataFrame, recommendations: DataFrame, pages: DataFrame, buckets: int = 32,
+    enriched: DataFrame, recommendations: DataFrame, pages: DataFrame, buckets: int | None = None,
 ) -> DataFrame:
     """Enriched groups with narratives, risk and remediation, one row for each page of resources and accounts.
 
     Groups and pages are both written in buckets of run, group and page, so they are joined without a shuffle
     and the pages of a large group lie in many buckets.  A group without resources has one empty page.
+    Without ``buckets`` their number follows the findings of ``enriched``, so that a bucket does not grow with them.
     """
+    if buckets is None:
+        findings = enriched.agg(F.sum("instance_count")).first()[0] or 0
+        buckets = max(BUCKETS, math.ceil(findings / BUCKET_ROWS))
     held = materialise_bucketed(pages, "group-pages", PAGE_KEYS, buckets)
     counts = held.groupBy("run_id", "group_no").agg(F.max("page_no").alias("last_page"))
     header = enriched.join(recommendations, ["run_id", "group_no"], "left").join(counts, ["run_id", "group_no"], "left").select(

@@ -133,6 +133,34 @@ def test_first_rows_by_either_way(spark):
         assert {r.row_seq: r.primary_seq for r in located.collect()} == want
 
 
+def test_findings_of_groups_are_joined_without_a_shuffle(spark):
+    """The places of members were guessed to be large: all findings of the pages were shuffled, for the rows and for their counts."""
+    from sightline.operators import report
+    from sightline.plans.catalog import Tables
+    from tests.test_stages import SF
+
+    t = Tables(spark, SF)
+    detail = report.resource_detail(t.approved(), t.groups(), t.working())
+    assert "Exchange hashpartitioning" not in detail._jdf.queryExecution().executedPlan().toString()
+    assert detail.count() == t.groups().agg(F.sum("instance_count")).first()[0]
+
+
+def test_buckets_of_pages_follow_the_findings(spark, monkeypatch):
+    """Pages of any number of findings went to 32 buckets, each sorted by one task."""
+    from sightline.operators import exports
+    from sightline.plans import catalog
+    from tests.test_stages import SF
+
+    made = []
+    keep = lambda df, label, keys, buckets: made.append(buckets) or df
+    monkeypatch.setattr(exports, "materialise_bucketed", keep)
+    catalog.QUERIES["enriched_groups"](spark, SF)
+    assert made == [32, 32]
+    monkeypatch.setattr(exports, "BUCKET_ROWS", 50)
+    catalog.QUERIES["enriched_groups"](spark, SF)
+    assert made[2] == made[3] > 32
+
+
 def test_records_are_split_once(spark, tmp_path):
     """The filter on empty rows split every record a second time, by another Python worker of the same task."""
     (tmp_path / "a.csv").write_text(csv_text(3).replace("severity1", '"severity, 1"'))
