@@ -123,7 +123,8 @@ def links(fps: DataFrame, fingerprint_count: int, max_bits: int = 4, tile: int =
     tiles = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit("tile")), tiles).cast("int")
     # a fingerprint of tile t meets tile u in the pair (min, max); few groups have more than one tile
-    placed = keyed.join(sizes, ["choice", "key"]).select(
+    # Spark sizes the exploded keys as if there were one for a fingerprint, so it must not choose what to broadcast
+    placed = keyed.join(sizes.hint("merge"), ["choice", "key"]).select(
         "choice", "key", "fp", own.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other")
     )
     pairs = placed.select(

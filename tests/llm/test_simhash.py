@@ -89,6 +89,12 @@ def test_groups_and_kept_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_exploded_keys_are_never_broadcast(spark):
+    fps = spark.range(1000).selectExpr("xxhash64(id) AS fp")
+    plan = simhash.links(fps, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicate_groups(empty).collect() == []
