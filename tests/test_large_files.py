@@ -40,6 +40,22 @@ def test_csv_larger_than_a_value(spark, tmp_path, small_values):
     assert scan.rejected.count() == 0
 
 
+def test_csv_lines_are_not_shuffled(spark, tmp_path):
+    """Lines went through windows over files and blocks and were grouped to records: all text was shuffled four times."""
+    text = "\n".join([",".join(RESOURCE_COLUMNS), *[",".join(f'"{c}\n{i}"' for c in RESOURCE_COLUMNS) for i in range(60)], ""])
+    (tmp_path / "a.csv").write_text(text)
+    rows = read_findings_csv(spark, str(tmp_path)).rows
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")  # blocks shorter than a record
+    try:
+        again = read_findings_csv(spark, str(tmp_path)).rows
+        assert again.rdd.getNumPartitions() > 60
+        for scan in (rows, again):
+            assert {(r.row_no, r.raw_region) for r in scan.collect()} == {(i + 2, f"REGION\n{i}") for i in range(60)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_fingerprints_are_those_of_the_bytes(spark, tmp_path):
     bom = b"\xef\xbb\xbf"
     texts = [b"", b"\n", b"\n\n\n", b"a", b"a\n", b"a\nb", b"a\r\nb\r\n", b"\r", bom, bom + b"\n", bom + b"a\nb", bom + b"a\nb\n", b"\xff\xfe\x00\n\xe9",
