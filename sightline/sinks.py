@@ -77,9 +77,9 @@ def write_events(events: DataFrame, path: str, step: str, runs: DataFrame | None
     if runs is not None:
         blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in AUDIT.fields if f.name != "run_id"]
         rows = rows.unionByName(runs.select("run_id").distinct().select("run_id", *blank))
-    rows.withColumn("step", F.lit(step)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "run_id", "step"
-    ).parquet(path)
+    # ids are digests in hexadecimal: zstd stores one in half its characters
+    dated = rows.withColumn("step", F.lit(step)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    dated.partitionBy("run_id", "step").option("compression", "zstd").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -87,8 +87,15 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([*(f for f in AUDIT.fields if f.name != "run_id"), AUDIT["run_id"], T.StructField("step", T.StringType())])
     found = spark.read.schema(schema).parquet(path).filter("finding_instance_id IS NOT NULL")
     step_no = F.array_position(F.array(*[F.lit(s) for s in STEPS]), F.col("step"))
-    history = Window.partitionBy("run_id", "finding_instance_id").orderBy("stage_no", step_no, "seq")
-    return found.select(*AUDIT.names, "step", F.row_number().over(history).alias("event_no"))
+    # a digest in hexadecimal is shuffled as its bytes, any other id as it is
+    name = F.col("finding_instance_id")
+    digest = F.when(name.rlike(r"\A[0-9a-f]{64}\z"), F.unhex(name))
+    dealt = found.withColumns({"_digest": digest, "_other": F.when(digest.isNull(), name)}).drop("finding_instance_id")
+    history = Window.partitionBy("run_id", "_digest", "_other").orderBy("stage_no", step_no, "seq")
+    numbered = dealt.withColumn("event_no", F.row_number().over(history)).withColumn(
+        "finding_instance_id", F.coalesce(F.lower(F.hex("_digest")), "_other")
+    )
+    return numbered.select(*AUDIT.names, "step", "event_no")
 
 
 # --- versioned tables -----------------------------------------------------------------------------

@@ -31,6 +31,16 @@ def events(spark, rows):
     return spark.createDataFrame([(r, f, n, s, "stage", "field", None, v, "why", "human") for r, f, n, s, v in rows], AUDIT)
 
 
+def test_audit_ids_are_shuffled_as_bytes(spark, tmp_path):
+    """All events were shuffled with their ids in hexadecimal, twice as long."""
+    path, ids = str(tmp_path / "audit"), ["ab" * 32, "AB" * 32, "ab" * 32 + "\n", "ab" * 31, "", "é"]
+    write_events(events(spark, [("r", i, n, 0, f"{i}{n}") for i in ids for n in (2, 1)]), path, "findings")
+    found = read_events(spark, path)
+    (dealt,) = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert "_digest" in dealt
+    assert {(r.finding_instance_id, r.event_no, r.new_value) for r in found.collect()} == {(i, n, f"{i}{n}") for i in ids for n in (1, 2)}
+
+
 def test_a_step_written_again_adds_nothing(spark, tmp_path):
     path = str(tmp_path / "audit")
     write_events(events(spark, [("2026", "a", 1, 0, "x"), ("2026", "a", 1, 1, "y"), ("r2", "b", 1, 0, "z"), (None, "n", 1, 0, "w")]), path, "findings")
