@@ -86,6 +86,17 @@ def test_small_files_share_a_task(spark, tmp_path):
     assert len(list(made.glob("part-*.parquet"))) < 60
 
 
+def test_files_are_hashed_once(spark, monkeypatch):
+    """All bytes passed through the tasks for their fingerprints twice."""
+    from sightline.plans import catalog
+    from tests.test_stages import SF
+
+    made, hashed = [], src.fingerprints
+    monkeypatch.setattr(src, "fingerprints", lambda *a: made.append(a) or hashed(*a))
+    catalog.QUERIES["scan_fingerprints"](spark, SF)
+    assert len(made) == 1
+
+
 def test_layouts_read_the_joined_findings(spark):
     """Every layout joined all line items to their orders and parts again."""
     from sightline.plans import catalog
